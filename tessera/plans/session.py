@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +28,22 @@ def build_session(master: str = "local[*]", partitions: int = 8, **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tessera-ship-")
+    archive = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in root.rglob("*.py"):
+            z.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
