@@ -33,6 +33,9 @@ SEGMENT = 1 << 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
+_PARTS = pa.schema([("segment", pa.int32()), ("grp", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+
+
 def _slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     h = hashes.view(np.uint64)
     return [((h * m) >> np.uint64(64 - bits)).astype(np.int64) + (i << bits) for i, m in enumerate(_MULTIPLIERS)]
@@ -54,7 +57,7 @@ def _task_filters(bits: int):
             part = once[start : start + SEGMENT]
             if part.any():
                 planes = [zlib.compress(np.packbits(x[start : start + SEGMENT]).tobytes(), 1) for x in (once, twice)]
-                yield pa.RecordBatch.from_pydict({"segment": [start // SEGMENT], "grp": [group], "once": [planes[0]], "twice": [planes[1]]})
+                yield pa.RecordBatch.from_pydict({"segment": [start // SEGMENT], "grp": [group], "once": [planes[0]], "twice": [planes[1]]}, _PARTS)
 
     return build
 
