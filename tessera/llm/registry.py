@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, simhash
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
