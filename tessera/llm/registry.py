@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, simhash
+from tessera.llm import exact_dedup, packing, simhash, token_counts
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op1_packing": packing.op1_packing,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
