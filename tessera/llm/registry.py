@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, simhash, token_counts
+from tessera.llm import exact_dedup, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_counts": token_counts.op7_token_counts,
     "op1_packing": packing.op1_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
