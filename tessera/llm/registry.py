@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, html_extract, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op1_packing": packing.op1_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op5_html_extract": html_extract.op5_html_extract,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
