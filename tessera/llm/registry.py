@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_extract, packing, simhash, token_counts, toxicity
+from tessera.llm import chat_format, exact_dedup, html_extract, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -11,7 +11,9 @@ QUERIES = {
     "op1_packing": packing.op1_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_html_extract": html_extract.op5_html_extract,
+    "op3_chat_format": chat_format.op3_chat_format,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op3_chat_format": chat_format.OP3_SQL,
 }
