@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, html_extract, packing, simhash, token_counts, toxicity
+from tessera.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, packing, simhash, token_counts, toxicity
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_html_extract": html_extract.op5_html_extract,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, salted_lookup, table
+from tessera.llm.common import materialize, salted_lookup, salts, table
 from tessera.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -61,14 +61,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed long. Documents go to Python one Arrow batch at a time."""
-
+def _fingerprint_udf(shingle: int):
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return of
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp), fp as a signed long. Documents go to Python one Arrow batch at a time."""
+    return docs.select("doc_id", _fingerprint_udf(shingle)("text").alias("fp"))
 
 
 def variants(classes: DataFrame) -> DataFrame:
@@ -190,15 +193,33 @@ def links(classes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: i
     return out.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(_block_links(distance), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (the smallest doc_id reachable), component_size."""
-    marked = materialize(fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id()))
+def _components(marked: DataFrame, distance: int) -> DataFrame:
+    """marked (with fp and _row) and its component_id and component_size."""
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(classes, distance)).withColumnRenamed("node", "fp")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    lookup = salted_lookup(placed.select("fp", "root"), "root", lows, F.col("fp")).select("fp", "component_id", "component_size")
-    return salted_lookup(marked, "fp", lookup, F.col("_row")).select("doc_id", "fp", "component_id", "component_size", "_row")
+    lookup = salted_lookup(placed.select("fp", "root"), "root", lows, F.col("fp")).select("fp", "root", "component_id", "component_size")
+    return salted_lookup(marked, "fp", lookup, F.col("_row"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """One row a document: doc_id, fp, component_id (the smallest doc_id reachable), component_size."""
+    marked = materialize(fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id()))
+    return _components(marked, distance).select("doc_id", "fp", "component_id", "component_size")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The documents that stay, with all their columns: of each component the row with the smallest doc_id (a null
+    doc_id last, repeated rows once). Texts are written once beside their fingerprints and shuffle once."""
+    spark = docs.sparkSession
+    stamped = materialize(docs.withColumn("_fp", _fingerprint_udf(shingle)("text")).withColumn("_row", F.monotonically_increasing_id()))
+    placed = materialize(_components(stamped.select("doc_id", F.col("_fp").alias("fp"), "_row"), distance).select("doc_id", "root", "component_size", "_row"))
+    shared = placed.filter("component_size > 1")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    keepers = shared.groupBy("root", F.pmod("_row", F.lit(salts(spark)))).agg(F.min(rank).alias("best")).groupBy("root").agg(F.min("best").alias("best"))
+    dropped = shared.select("_row").join(keepers.select(F.col("best._row").alias("_row")), "_row", "left_anti")
+    return stamped.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -257,6 +257,13 @@ def scores(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    model = train_from(docs, labels)
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return scores(named, model).filter("predicted = 0").select("_doc.*")
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_from(docs, table(spark, sf_dir, "labels"))
