@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, packing, simhash, token_counts, toxicity
+from tessera.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, packing, pii, simhash, token_counts, toxicity
 
 QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op8_pii": pii.op8_pii,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
