@@ -1,11 +1,10 @@
-"""Registry of the engine's queries and of the SQL that each must agree with."""
+"""All queries of the engine and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import dialogue, intake, matching, quoting, scoring, spatial_views, text_views
+from tessera.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "fuse_candidates"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dialogue", "intake", "matching", "quoting", "scoring", "spatial_views", "text_views"]
