@@ -1 +1,194 @@
-"""Queries."""
+"""Label maps, value matching, retrieval and curation over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import labels, retrieval
+from tessera.plans.registry import query
+from tessera.plans.session import ship, table
+
+
+@query("schema_semi_filter", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+def schema_semi_filter(spark, sf_dir):
+    """P04."""
+    known = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(known, "l_partkey", "left_semi")
+
+
+@query("schema_anti_unmapped", "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def schema_anti_unmapped(spark, sf_dir):
+    """Catalog rows that nothing maps to."""
+    mapped = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").join(mapped, "p_partkey", "left_anti")
+
+
+@query("label_mode_aggregate", "WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS seen FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, first(l_linestatus ORDER BY seen DESC, l_linestatus) AS l_linestatus, max(seen) AS seen FROM c GROUP BY 1")
+def label_mode_aggregate(spark, sf_dir):
+    return labels.label_map(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query(
+    "label_map_lookup",
+    """WITH c AS (SELECT p_type, p_brand, count(*) AS seen FROM part GROUP BY 1, 2), m AS (SELECT p_type, first(p_brand ORDER BY seen DESC, p_brand) AS brand FROM c GROUP BY 1)
+SELECT p_partkey, brand FROM part JOIN m USING (p_type)""",
+)
+def label_map_lookup(spark, sf_dir):
+    """Labels looked up in a map that was aggregated from the data; the map is small beside the rows."""
+    part = table(spark, sf_dir, "part")
+    best = labels.label_map(part, "p_type", "p_brand").select("p_type", F.col("p_brand").alias("brand"))
+    return part.select("p_partkey", "p_type").join(best, "p_type").select("p_partkey", "brand")
+
+
+_SCORE = """CASE WHEN x = y THEN 1.0 WHEN length(dx) >= 3 AND dx = dy THEN 0.95
+ WHEN (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.5 THEN 0.80
+ WHEN abs(length(x) - length(y)) <= greatest(length(x), length(y)) * 0.15 AND 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.85 THEN round((1 - levenshtein(x, y) / greatest(length(x), length(y))) * 0.85, 6) ELSE 0.0 END"""
+_PAIRS = f"""p AS (SELECT s_suppkey, c_custkey, s_nationkey AS nation, lower(trim(s_name)) AS x, lower(trim(c_name)) AS y, regexp_replace(s_name, '[^0-9]', '', 'g') AS dx, regexp_replace(c_name, '[^0-9]', '', 'g') AS dy
+ FROM supplier JOIN customer ON s_nationkey = c_nationkey), v AS (SELECT s_suppkey, c_custkey, nation, ({_SCORE})::DOUBLE AS score FROM p)"""
+
+
+def _pairs(spark, sf_dir):
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    met = s.join(c, s["s_nationkey"] == c["c_nationkey"])
+    return met.select("s_suppkey", "c_custkey", F.col("s_nationkey").alias("nation"), labels.value_score(F.col("s_name"), F.col("c_name")).alias("score")).filter("score > 0")
+
+
+@query("value_match_candidates", f"WITH {_PAIRS} SELECT * FROM v WHERE score > 0")
+def value_match_candidates(spark, sf_dir):
+    """Names compared within a nation, the blocking key."""
+    return _pairs(spark, sf_dir)
+
+
+@query("greedy_assignment")
+def greedy_assignment(spark, sf_dir):
+    ship(spark)
+    return labels.assign_one_to_one(_pairs(spark, sf_dir), "nation", "s_suppkey", "c_custkey", "score")
+
+
+@query("near_duplicate_contamination", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
+def near_duplicate_contamination(spark, sf_dir):
+    """J14, containment: documents that hold a benchmark text as it stands.
+
+    Blocked by the text's first words: each document position that starts with them is looked up, so the join is an
+    equi-join and not a product.
+    """
+    key = 12
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("b")).withColumn("head", F.substring("b", 1, key))
+    heads = F.broadcast(b.select("head").distinct()) if b.count() <= 100_000 else b.select("head").distinct()
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("d"))
+    # a benchmark text starts a word, so only places at the start or after white space are looked up
+    each = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("d", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{key}}}))"), F.lit(1)))).alias("head"))
+    hits = each.join(heads, "head", "left_semi")
+    found = hits.join(b, "head").join(d, "doc_id").filter(F.col("d").contains(F.col("b")))
+    return found.select("doc_id", "item_id").distinct()
+
+
+@query("dedup_union", "SELECT text AS content FROM documents UNION SELECT text FROM benchmark")
+def dedup_union(spark, sf_dir):
+    """U01."""
+    return labels.distinct_union([table(spark, sf_dir, t).select(F.col("text").alias("content")) for t in ("documents", "benchmark")])
+
+
+@query("dedup_against_existing", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+def dedup_against_existing(spark, sf_dir):
+    """The odd half of the documents against the even half, which stands for an existing file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return labels.not_yet_there(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0"), F.sha2("text", 256)).select("doc_id")
+
+
+@query(
+    "stratified_holdout",
+    """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919) % 10007, doc_id) AS n, count(*) OVER (PARTITION BY lang) AS size FROM documents)
+SELECT doc_id, lang, n <= greatest(1, floor(size * 0.1)) AS held_out FROM r""",
+)
+def stratified_holdout(spark, sf_dir):
+    return retrieval.hold_out(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", [(F.col("doc_id") * 7919) % 10007, "doc_id"], 0.1)
+
+
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (
+ SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings JOIN q ON vec_id >= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s {where})
+SELECT * FROM r WHERE rank <= {k}"""
+
+
+def _vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return rows.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id"), rows.filter("vec_id >= 20").withColumnRenamed("vec_id", "item_id")
+
+
+@query("knn_match", _KNN.format(where="", k=5))
+def knn_match(spark, sf_dir):
+    """The first twenty vectors stand for the fields, all others for the labels."""
+    return retrieval.nearest(*_vectors(spark, sf_dir), 5)
+
+
+@query("knn_threshold", _KNN.format(where="WHERE score >= 0.30", k=1))
+def knn_threshold(spark, sf_dir):
+    """The best match of each field where it is good enough."""
+    return retrieval.nearest(*_vectors(spark, sf_dir), 1, 0.30)
+
+
+@query("fewshot_retrieve", "WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank FROM documents WHERE n_chars < 2000) SELECT * FROM r WHERE rank <= 2")
+def fewshot_retrieve(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("n_chars < 2000").select("lang", "source", "doc_id")
+    return retrieval.first_per_group(docs, ["lang", "source"], ["doc_id"], 2)
+
+
+@query("context_budget", "WITH r AS (SELECT lang, source, doc_id, sum(n_chars) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) SELECT * FROM r WHERE used <= 3000")
+def context_budget(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
+    return retrieval.within_budget(docs, ["lang", "source"], ["doc_id"], F.col("n_chars"), 3000).drop("n_chars")
+
+
+@query("fixed_batches", "SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 30)::BIGINT AS batch FROM documents")
+def fixed_batches(spark, sf_dir):
+    return retrieval.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 30)
+
+
+@query("ordered_split", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT lang, doc_id, CASE WHEN n <= 40 THEN 0 WHEN n <= 60 THEN 1 ELSE 2 END AS part FROM r")
+def ordered_split(spark, sf_dir):
+    """Given sizes in order (40, 20), the remainder to the last part."""
+    ranked = retrieval.first_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 1 << 40)
+    return ranked.select("lang", "doc_id", F.when(F.col("rank") <= 40, 0).when(F.col("rank") <= 60, 1).otherwise(2).alias("part"))
+
+
+@query("text_chunks")
+def text_chunks(spark, sf_dir):
+    return retrieval.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("regex_pattern_join", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, '1$') THEN 'one' WHEN regexp_matches(p_name, '[2-4]') THEN 'low' WHEN regexp_matches(p_name, '[5-9]$') THEN 'high' END AS target FROM part")
+def regex_pattern_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", labels.first_pattern(part, "p_name", [("1$", "one"), ("[2-4]", "low"), ("[5-9]$", "high")]).alias("target"))
+
+
+@query(
+    "suffix_index_join",
+    """WITH e AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1)
+SELECT o_custkey, ['A','B','C','D','E'][i] AS suffix, orders[i] AS value FROM e, range(1, 6) t(i) WHERE i <= len(orders)""",
+)
+def suffix_index_join(spark, sf_dir):
+    """A suffix letter is the index into an entity's list."""
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
+    each = lists.select("o_custkey", F.posexplode(F.slice("orders", 1, 5)).alias("i", "value"))
+    return each.select("o_custkey", F.get(F.array(*map(F.lit, "ABCDE")), F.col("i")).alias("suffix"), "value")
+
+
+@query("position_drift", "SELECT p_partkey AS field, (CASE WHEN p_partkey % 4 = 0 THEN 9 ELSE p_partkey % 4 END)::BIGINT AS shift, p_partkey % 10 = 0 AS page_differs FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 10 = 0")
+def position_drift(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    a = part.select(k.alias("field"), F.lit(1).alias("page"), (k % 500).alias("x"), (k % 300).alias("y"))
+    b = part.select(k.alias("field"), F.when(k % 10 == 0, 2).otherwise(1).alias("page"), (k % 500 + F.when(k % 4 == 0, 9).otherwise(k % 4)).alias("x"), (k % 300).alias("y"))
+    return labels.drifted(a, b, "field", ["x", "y"], 5)
+
+
+@query("fallback_key_join", "SELECT s_suppkey, coalesce(a.n_name, b.n_name) AS nation FROM supplier LEFT JOIN nation a ON a.n_nationkey = s_nationkey AND s_suppkey % 2 = 0 LEFT JOIN nation b ON b.n_nationkey = s_nationkey")
+def fallback_key_join(spark, sf_dir):
+    """Half of the names are written with a blank tail, which only the trimmed key finds."""
+    names = table(spark, sf_dir, "nation").select("n_name")
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit("  "))).alias("name"))
+    catalog = names.select(F.col("n_name").alias("name"), F.col("n_name").alias("nation"))
+    return labels.with_fallback(rows, catalog, "name", F.trim("name"), "nation").select("s_suppkey", "nation")
