@@ -140,3 +140,65 @@ def nearest_right(blocks: DataFrame, page: str, dy: float = 30, gap: float = 300
         return F.when(hit.isNull(), out).otherwise(F.concat(out, F.array(F.struct(b["ord"].cast("long").alias("ord"), hit["ord"].cast("long").alias("value_ord")))))
 
     return pages.select(page, F.inline(F.aggregate("_labels", zero, step)))
+
+
+def typed_pick(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks that fell into typed regions (field_type, text, confidence, ord) to one value a region.
+
+    A date, a five-digit code and a policy number are searched in the texts in order; a checkbox is 1 where a mark
+    stands and Off elsewhere; a number keeps its digits; a text is the longest, then the surest.
+    """
+    t = F.col("text")
+    found = {
+        "date": F.regexp_extract(t, r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})", 1),
+        "naic": F.regexp_extract(t, r"^\s*([0-9]{5})\s*$", 1),
+        "policy_number": F.regexp_extract(t, r"([A-Z0-9][A-Z0-9-]{4,})", 1),
+        "number": F.regexp_replace(t, r"[^0-9.]", ""),
+    }
+    hit = F.lit(None).cast("string")
+    for kind, c in found.items():
+        hit = F.when(F.col("field_type") == kind, F.nullif(c, F.lit(""))).otherwise(hit)
+    marked = F.trim(F.lower(t)).isin("x", "☑", "☒", "✓", "✔", "1", "yes")
+    each = hits.withColumns({"_hit": hit, "_mark": marked})
+    out = each.groupBy(*keys, "field_type").agg(
+        F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("ord"))).alias("_hit"),
+        F.bool_or("_mark").alias("_mark"),
+        F.max_by("text", F.struct(F.char_length("text"), "confidence", -F.col("ord"))).alias("_text"),
+    )
+    value = F.when(F.col("field_type") == "checkbox", F.when(F.col("_mark"), "1").otherwise("Off"))
+    return out.select(*keys, value.when(F.col("field_type") == "text", F.col("_text")).otherwise(F.col("_hit")).alias("value"))
+
+
+def _fold_rows(blocks: DataFrame, keys: list[str], joins, update) -> DataFrame:
+    """Rows by a sequential rule over a page's blocks sorted by y: joins(anchor, y) and update(anchor, y)."""
+    entry = F.struct(F.col("y").cast("double").alias("y"), F.col("ord").cast("long").alias("ord"))
+    zero = F.struct(F.lit(0.0).alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<struct<ord:bigint,row:int>>").alias("out"))
+
+    def step(s: Column, b: Column) -> Column:
+        on = (s["row"] > 0) & joins(s["anchor"], b["y"])
+        row = F.when(on, s["row"]).otherwise(s["row"] + 1)
+        return F.struct(F.when(on, update(s["anchor"], b["y"])).otherwise(b["y"]).alias("anchor"), row.alias("row"), F.concat(s["out"], F.array(F.struct(b["ord"].alias("ord"), row.alias("row")))).alias("out"))
+
+    pages = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_b"))
+    return pages.select(*keys, F.inline(F.aggregate("_b", zero, step)["out"]))
+
+
+def rows_by_midpoint(blocks: DataFrame, keys: list[str], tolerance: float = 35) -> DataFrame:
+    """The row's anchor moves half way to each block that joins it."""
+    return _fold_rows(blocks, keys, lambda anchor, y: F.abs(y - anchor) <= tolerance, lambda anchor, y: (anchor + y) / 2)
+
+
+def columns_by_seed(blocks: DataFrame, keys: list[str], tolerance: float = 40) -> DataFrame:
+    """Blocks by x; one joins the open column while it lies within the tolerance of its first block. Columns of
+    one block go."""
+    found = _fold_rows(blocks.withColumn("y", F.col("x")), keys, lambda anchor, x: x - anchor <= tolerance, lambda anchor, x: anchor).withColumnRenamed("row", "column")
+    return found.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "column"))).filter("_n >= 2").drop("_n")
+
+
+def recover_small_fields(points: DataFrame, regions: DataFrame, width: float = 80, pad: float = 12, longest: int = 20) -> DataFrame:
+    """Narrow regions, padded, take the block of at most so many characters whose centre is nearest."""
+    small = regions.filter(F.col("x_max") - F.col("x_min") < width)
+    grown = small.withColumns({"_cx0": (F.col("x_min") + F.col("x_max")) / 2, "_cy0": (F.col("y_min") + F.col("y_max")) / 2, "x_min": F.col("x_min") - pad, "y_min": F.col("y_min") - pad, "x_max": F.col("x_max") + pad, "y_max": F.col("y_max") + pad})
+    hits = points_in_regions(points.filter(F.char_length("text") <= longest), grown)
+    far = F.round(F.sqrt(F.pow(F.col("x") - F.col("_cx0"), 2) + F.pow(F.col("y") - F.col("_cy0"), 2)), 6)
+    return hits.withColumn("_d", far).groupBy("field").agg(F.min_by("text", F.struct("_d", "ord")).alias("text"))

@@ -131,3 +131,63 @@ def asof_sections(spark, sf_dir):
 @query("nearest_right_pairs")
 def nearest_right_pairs(spark, sf_dir):
     return S.nearest_right(blocks(spark, sf_dir).withColumn("is_label", F.col("ord") % 2 == 1), "page")
+
+
+@query(
+    "row_cluster_midpoint",
+    f"""WITH RECURSIVE {_BLOCKS}, s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, ord) AS n FROM b),
+w AS (SELECT page, ord, n, y::DOUBLE AS anchor, 1 AS row FROM s WHERE n = 1
+ UNION ALL SELECT s.page, s.ord, s.n, CASE WHEN abs(s.y - w.anchor) <= 35 THEN (w.anchor + s.y) / 2 ELSE s.y END, CASE WHEN abs(s.y - w.anchor) <= 35 THEN w.row ELSE w.row + 1 END
+ FROM w JOIN s ON s.page = w.page AND s.n = w.n + 1) SELECT page, ord, row FROM w""",
+)
+def row_cluster_midpoint(spark, sf_dir):
+    return S.rows_by_midpoint(blocks(spark, sf_dir), ["page"])
+
+
+@query(
+    "column_cluster",
+    f"""WITH RECURSIVE {_BLOCKS}, s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, ord) AS n FROM b),
+w AS (SELECT page, ord, n, x::DOUBLE AS seed, 1 AS col FROM s WHERE n = 1
+ UNION ALL SELECT s.page, s.ord, s.n, CASE WHEN s.x - w.seed <= 40 THEN w.seed ELSE s.x END, CASE WHEN s.x - w.seed <= 40 THEN w.col ELSE w.col + 1 END
+ FROM w JOIN s ON s.page = w.page AND s.n = w.n + 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY page, col) AS k FROM w) SELECT page, ord, col AS "column" FROM c WHERE k >= 2""",
+)
+def column_cluster(spark, sf_dir):
+    return S.columns_by_seed(blocks(spark, sf_dir), ["page"])
+
+
+_TEXTS = "tx AS (SELECT (l_partkey % 5)::INT AS page, (round(l_extendedprice)::BIGINT % 2550) AS x, ((l_partkey * 37 + l_suppkey * 11) % 3300) AS y, l_orderkey * 10 + l_linenumber AS ord, min(l_returnflag || ' ' || l_partkey || '/' || l_linenumber || '/2024') AS text FROM lineitem GROUP BY 1, 2, 3, 4)"
+
+
+def texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") % 5).cast("int").alias("page"),
+        (F.round("l_extendedprice").cast("long") % 2550).alias("x"),
+        ((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 3300).alias("y"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+        F.concat("l_returnflag", F.lit(" "), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("/2024")).alias("text"),
+    )
+    return rows.groupBy("page", "x", "y", "ord").agg(F.min("text").alias("text"))
+
+
+@query(
+    "template_region_pick",
+    f"""WITH {_TEXTS}, {_REGIONS}, h AS (SELECT field, ['text','number','checkbox','date'][1 + field % 4] AS field_type, text, ord FROM tx JOIN rg ON tx.page = rg.page AND x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max)
+SELECT field, CASE field_type WHEN 'checkbox' THEN 'Off' WHEN 'text' THEN first(text ORDER BY length(text) DESC, ord)
+ WHEN 'number' THEN first(regexp_replace(text, '[^0-9.]', '', 'g') ORDER BY ord)
+ ELSE first(nullif(regexp_extract(text, '([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})', 1), '') ORDER BY ord) FILTER (WHERE regexp_matches(text, '([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}})')) END AS value FROM h GROUP BY field, field_type""",
+)
+def template_region_pick(spark, sf_dir):
+    kinds = F.get(F.array(*map(F.lit, ["text", "number", "checkbox", "date"])), (F.col("field") % 4).cast("int"))
+    hits = S.points_in_regions(texts(spark, sf_dir), regions(spark, sf_dir)).withColumns({"field_type": kinds, "confidence": F.lit(1.0)})
+    return S.typed_pick(hits, ["field"])
+
+
+@query(
+    "small_field_recovery",
+    f"""WITH {_TEXTS}, {_REGIONS}, h AS (SELECT field, text, ord, round(sqrt(power(x - (x_min + x_max) / 2.0, 2) + power(y - (y_min + y_max) / 2.0, 2)), 6) AS d FROM tx JOIN rg ON tx.page = rg.page
+ AND x BETWEEN x_min - 12 AND x_max + 12 AND y BETWEEN y_min - 12 AND y_max + 12 WHERE x_max - x_min < 60 AND length(text) <= 20)
+SELECT field, first(text ORDER BY d, ord) AS text FROM h GROUP BY 1""",
+)
+def small_field_recovery(spark, sf_dir):
+    return S.recover_small_fields(texts(spark, sf_dir), regions(spark, sf_dir), width=60)
