@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import dialogue, intake, matching, quoting, scoring, spatial_views, text_views
+from tessera.plans import dialogue, intake, matching, quoting, record_views, scoring, spatial_views, text_views
 from tessera.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "fuse_candidates"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dialogue", "intake", "matching", "quoting", "scoring", "spatial_views", "text_views"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dialogue", "intake", "matching", "quoting", "record_views", "scoring", "spatial_views", "text_views"]
