@@ -45,10 +45,15 @@ _BLOCKS = frozenset(
 )
 _BAD_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+#: Names that say what a container's text is, and names of places in a layout. A wrapper may be named after a place
+#: that it merely makes room for, so an article or main element inside one of those counts again.
 _BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|side-?bar|menu|nav|navbar|navigation|footer|header|masthead|"
-    r"breadcrumbs?|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|disqus|newsletter|subscribe|signup|popup|modal|overlay|"
-    r"pagination|pager|widget|toolbar|login|search)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|share|sharing|social|related|recommended|comments?|commentlist|respond|reply|replies|"
+    r"disqus|newsletter|subscribe|signup|popup|modal|overlay|login)(?=$|[\s_-])",
+    re.IGNORECASE,
+)
+_PLACE_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:banner|notice|alert|side-?bar|menu|nav|navbar|navigation|footer|header|masthead|breadcrumbs?|pagination|pager|widget|toolbar|search)(?=$|[\s_-])",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
@@ -65,26 +70,30 @@ class Block:
     label: str = ""
 
 
-def _bad_container(tag: str, attributes: str, in_article: bool) -> bool:
+def _bad_container(tag: str, attributes: str, in_article: bool) -> int:
+    """2 where the container's text is no main text, 1 where only its name hints at a place, else 0."""
     if tag in _BAD_TAGS or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes.strip():
-        return False
+        return 0
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in _BAD_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return 2
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    return tag not in ("body", "html", "main") and bool(_BAD_NAMES.search(found.get("class", "")) or _BAD_NAMES.search(found.get("id", "")))
+        return 2
+    if tag in ("body", "html", "main"):
+        return 0
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    return 2 if _BAD_NAMES.search(names) else int(bool(_PLACE_NAMES.search(names)))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with what their containers say about them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, bad, article, skipped
+    stack: list[tuple[str, int, int, bool]] = []  # tag, bad, article, skipped
     pieces: list[tuple[str, bool]] = []
     links, articles, heading = 0, 0, False
-    bad, article, skipped = False, 0, False
+    bad, article, skipped = 0, 0, False
 
     def flush() -> None:
         nonlocal pieces
@@ -92,7 +101,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(t for t, inside in pieces if inside)).split()))
-                out.append(Block(text, linked, bad, article, heading))
+                out.append(Block(text, linked, bad > 0, article, heading))
             pieces = []
 
     at, end = 0, len(page)
@@ -132,10 +141,11 @@ def blocks(page: str) -> list[Block]:
                 if tag in ("article", "main") and not article:
                     articles += 1
                     inside = articles
+                    bad = bad if bad > 1 else 0
                 else:
                     inside = article
-                stack.append((tag, bad or _bad_container(tag, m[3], article > 0), inside, skipped or tag in _SKIPPED))
-            _, bad, article, skipped = stack[-1] if stack else ("", False, 0, False)
+                stack.append((tag, max(bad, _bad_container(tag, m[3], article > 0)), inside, skipped or tag in _SKIPPED))
+            _, bad, article, skipped = stack[-1] if stack else ("", 0, 0, False)
     flush()
     return out
 

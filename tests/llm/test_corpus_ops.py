@@ -291,6 +291,8 @@ LONG = "it was the house of the king and all that was in it for the people of th
         (f"<header>Top</header><div class='cookie-notice'><p>{LONG * 4}</p></div><div><p>{LONG * 4}</p><p>Short.</p><p>{LONG * 3}</p></div><div id=comments><p>{LONG * 5}</p></div>", f"{(LONG * 4).strip()} Short. {(LONG * 3).strip()}"),
         (f"<article><p>{LONG * 3}<p>unclosed<script>var a='</p><p>no';</script><style>p{{}}</style><!-- <p>no --></article>", f"{(LONG * 3).strip()} unclosed"),
         (f"<main><aside>Side</aside><form>Name <input></form><p>{LONG * 3}</p><div class='ad'>Buy the thing</div></main>", (LONG * 3).strip()),
+        (f"<div class='page has-sidebar'><article><p>{LONG * 3}</p></article><div class='sidebar'><p>{LONG * 3}</p></div></div>", (LONG * 3).strip()),
+        (f"<main><p>{LONG * 3}</p></main><section class='comments'><article><p>{LONG * 3}</p></article></section>", (LONG * 3).strip()),
         ("<article><p>un<b>bro</b>ken&nbsp; \n word</p></article>", "unbroken word"),
     ],
 )
