@@ -90,3 +90,43 @@ def not_yet_there(new: DataFrame, existing: DataFrame, key: Column) -> DataFrame
     """New rows whose key no existing row has; keys of new rows may repeat."""
     known = existing.select(key.alias("_k")).distinct()
     return new.withColumn("_key", key).join(known, F.col("_key") == F.col("_k"), "left_anti").drop("_key")
+
+
+def key_form(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def reconcile_keys(rows: DataFrame, catalog: DataFrame, key: str, name: str, gram: int = 5) -> DataFrame:
+    """The catalog name of a key: equal, else equal in normal form, else one contained in the other with a length
+    ratio of 0.6 or more and five characters or more; the best tier, then the closest length, then the name.
+
+    Containment is looked up by the first characters of the shorter form among all places of the longer one, both
+    ways, so it is an equi-join.
+    """
+    a = rows.select(key).distinct().withColumn("_a", key_form(F.col(key)))
+    b = catalog.select(name).distinct().withColumn("_b", key_form(F.col(name)))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - gram + 1)), lambda i: F.substr(F.col(c), i, F.lit(gram))))
+    equal = a.join(b, F.col(key) == F.col(name)).withColumn("_tier", F.lit(1))
+    normal = a.join(b, F.col("_a") == F.col("_b")).withColumn("_tier", F.lit(2))
+    long_a = a.withColumn("_g", F.explode(grams("_a"))).join(b.withColumn("_g", F.substring("_b", 1, gram)), "_g").filter(F.col("_a").contains(F.col("_b")))
+    long_b = a.withColumn("_g", F.substring("_a", 1, gram)).join(b.withColumn("_g", F.explode(grams("_b"))), "_g").filter(F.col("_b").contains(F.col("_a")))
+    shorter, longer = F.least(F.char_length("_a"), F.char_length("_b")), F.greatest(F.char_length("_a"), F.char_length("_b"))
+    held = long_a.unionByName(long_b).drop("_g").filter((shorter >= gram) & (shorter / longer >= 0.6)).withColumn("_tier", F.lit(3))
+    found = equal.unionByName(normal).unionByName(held).withColumn("_gap", F.char_length("_a") - F.char_length("_b"))
+    best = found.groupBy(key).agg(F.min(F.struct("_tier", F.abs("_gap").alias("_gap"), name)).alias("_m"))
+    return best.select(key, F.col(f"_m.{name}").alias(name), F.col("_m._tier").alias("tier"))
+
+
+def form_by_overlap(fields: DataFrame, catalog: DataFrame, doc: str, more_than: int = 10) -> DataFrame:
+    """The form whose catalog shares most field names with a document, where they are more than ten."""
+    shared = fields.select(doc, "field").distinct().join(catalog.select("form", "field").distinct(), "field").groupBy(doc, "form").agg(F.count("*").alias("shared"))
+    best = shared.groupBy(doc).agg(F.min_by(F.struct("form", "shared"), F.struct(-F.col("shared"), "form")).alias("_m"))
+    return best.select(doc, "_m.form", "_m.shared").filter(F.col("shared") > more_than)
+
+
+def grouped_questions(missing: DataFrame, groups: dict[str, list[str]], doc: str, most: int = 5) -> DataFrame:
+    """Missing (doc, fields array): a group is asked where two or more of its fields are missing, five at most a
+    document, in the groups' order."""
+    asked = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(g).alias("group"), F.size(F.array_intersect("fields", F.array(*map(F.lit, f)))).alias("missing")) for i, (g, f) in enumerate(groups.items())])
+    fires = F.slice(F.filter(asked, lambda q: q["missing"] >= 2), 1, most)
+    return missing.select(doc, F.inline(fires)).drop("rank")

@@ -192,3 +192,61 @@ def fallback_key_join(spark, sf_dir):
     rows = rows.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit("  "))).alias("name"))
     catalog = names.select(F.col("n_name").alias("name"), F.col("n_name").alias("nation"))
     return labels.with_fallback(rows, catalog, "name", F.trim("name"), "nation").select("s_suppkey", "nation")
+
+
+@query(
+    "fuzzy_key_tiers",
+    """WITH a AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN upper(replace(s_name, '#', ' ')) WHEN 2 THEN s_name || ' ltd' ELSE 'zzz' || s_suppkey || 'qqqqqqqqqqqqqqqqqqqq' END AS key FROM supplier),
+n AS (SELECT s_suppkey, key, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS x FROM a), b AS (SELECT DISTINCT s_name AS name, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS y FROM supplier),
+t AS (SELECT s_suppkey, key, name, CASE WHEN key = name THEN 1 WHEN x = y THEN 2 WHEN (contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) >= 5 AND least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.6 THEN 3 END AS tier, abs(length(x) - length(y)) AS gap FROM n CROSS JOIN b)
+SELECT key, first(name ORDER BY tier, gap, name) AS name, min(tier) AS tier FROM t WHERE tier IS NOT NULL GROUP BY key""",
+)
+def fuzzy_key_tiers(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 4
+    key = F.when(k == 0, F.col("s_name")).when(k == 1, F.upper(F.replace("s_name", F.lit("#"), F.lit(" ")))).when(k == 2, F.concat("s_name", F.lit(" ltd"))).otherwise(F.concat(F.lit("zzz"), F.col("s_suppkey").cast("string"), F.lit("qqqqqqqqqqqqqqqqqqqq")))
+    return labels.reconcile_keys(s.select(key.alias("key")), s.select(F.col("s_name").alias("name")), "key", "name")
+
+
+@query(
+    "form_by_signature",
+    """WITH f AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS field FROM lineitem), c AS (SELECT 'form' || (p_partkey % 3) AS form, p_partkey AS field FROM part),
+s AS (SELECT doc, form, count(*) AS shared FROM f JOIN c USING (field) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY shared DESC, form) AS n FROM s)
+SELECT doc, form, shared FROM r WHERE n = 1 AND shared > 10""",
+)
+def form_by_signature(spark, sf_dir):
+    fields = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("field"))
+    catalog = table(spark, sf_dir, "part").select(F.concat(F.lit("form"), (F.col("p_partkey") % 3).cast("string")).alias("form"), F.col("p_partkey").alias("field"))
+    return labels.form_by_overlap(fields, catalog, "doc")
+
+
+QUESTIONS = {"contact": ["view", "click"], "money": ["purchase", "signup", "view"], "faults": ["error", "click"]}
+
+
+@query(
+    "grouped_questions",
+    """WITH m AS (SELECT user_id, list_filter(['view','click','purchase','signup','error'], lambda t: NOT list_contains(list(DISTINCT event_type) FILTER (WHERE value > 90), t)) AS fields FROM events GROUP BY 1),
+q(rank, grp, f) AS (VALUES (0, 'contact', ['view','click']), (1, 'money', ['purchase','signup','view']), (2, 'faults', ['error','click']))
+SELECT user_id, grp AS "group", len(list_intersect(fields, f)) AS missing FROM m CROSS JOIN q WHERE len(list_intersect(fields, f)) >= 2""",
+)
+def grouped_questions(spark, sf_dir):
+    have = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 90, F.col("event_type"))).alias("have"))
+    every = F.array(*map(F.lit, ["view", "click", "purchase", "signup", "error"]))
+    return labels.grouped_questions(have.select("user_id", F.array_except(every, "have").alias("fields")), QUESTIONS, "user_id")
+
+
+@query(
+    "context_retrieval",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (
+ SELECT query_id, vec_id AS item_id, label % 3 AS part, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings JOIN q ON vec_id >= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, item_id) AS n FROM s),
+u AS (SELECT query_id, item_id, score, (100 + item_id % 300)::BIGINT AS size FROM r WHERE n <= CASE part WHEN 0 THEN 5 ELSE 2 END),
+b AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY score DESC, item_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM u) SELECT query_id, item_id, score, used FROM b WHERE used <= 1500""",
+)
+def context_retrieval(spark, sf_dir):
+    """The nearest of three collections (5, 2, 2), merged by distance, within 1500 characters."""
+    queries, items = _vectors(spark, sf_dir)
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), (F.col("label") % 3).alias("part"))
+    parts = [retrieval.nearest(queries, items.join(kinds.filter(F.col("part") == p), "item_id", "left_semi"), k) for p, k in ((0, 5), (1, 2), (2, 2))]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("size", 100 + F.col("item_id") % 300)
+    return retrieval.within_budget(union, ["query_id"], [F.desc("score"), "item_id"], F.col("size"), 1500).select("query_id", "item_id", "score", "used")
