@@ -88,10 +88,16 @@ def quote_best(spark, sf_dir):
     return best.withColumn("least_total", F.round("least_total", 0))
 
 
-@query("payment_options", f"WITH {_RATED}, pl(plan, installments, fee) AS (VALUES ('annual', 1, 0.0), ('semi_annual', 2, 0.02), ('quarterly', 4, 0.04), ('monthly', 12, 0.08)) SELECT c_custkey, carrier_id, plan, installments, round(round(round(total * (1 + fee::DOUBLE), 2) / installments, 2), 0) AS installment FROM q CROSS JOIN pl")
+@query(
+    "payment_options",
+    f"""WITH {_RATED}, pl(plan, installments, fee) AS (VALUES ('annual', 1, 0.0), ('semi_annual', 2, 0.02), ('quarterly', 4, 0.04), ('monthly', 12, 0.08)),
+w AS (SELECT c_custkey, carrier_id, round(total, 0) AS total FROM q)
+SELECT c_custkey, carrier_id, plan, installments, round(round(total * (1 + fee::DOUBLE), 2) / installments, 2) AS installment FROM w CROSS JOIN pl""",
+)
 def payment_options(spark, sf_dir):
-    found = rating.quotes(rated(spark, sf_dir), ["c_custkey"])
-    return rating.payment_options(found).select("c_custkey", "carrier_id", "plan", "installments", F.round("installment", 0).alias("installment"))
+    """N11, on totals in whole units."""
+    found = rating.quotes(rated(spark, sf_dir), ["c_custkey"]).withColumn("total", F.round("total", 0))
+    return rating.payment_options(found).select("c_custkey", "carrier_id", "plan", "installments", "installment")
 
 
 @query(
