@@ -35,46 +35,56 @@ ROOM = 8
 #: Underfull bins that the local search of one shard looks at together, and its sweeps over them.
 SEARCH, SWEEPS = 256, 4
 #: Chunks in each of the two generations of ids that a worker keeps.
-KEPT = 500_000
+KEPT = 900_000
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
     The normaliser turns white space into one blank and the pre-tokeniser never crosses it, so blank-separated chunks
-    encode alone as they do in the text; each distinct chunk goes to the library once and is kept.
+    encode alone as they do in the text. Each distinct chunk goes to the library once; the dict keeps what it gave,
+    in two generations of bounded size.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kept: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        try:
-            return b"".join(map(self.kept.__getitem__, chunks))
-        except KeyError:
-            self.learn(chunks)
-            return b"".join(map(self.kept.__getitem__, chunks))
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.kept) > KEPT:
-            self.older, self.kept = self.kept, {"": b""}
-        kept, older = self.kept, self.older
-        new = []
-        for chunk in dict.fromkeys(chunks):
-            if chunk not in kept:
-                if chunk in older:
-                    kept[chunk] = older[chunk]
-                else:
-                    new.append(chunk)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            kept[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > KEPT:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(chunk)
+        if ids is None:
+            word, mark = self.plain(chunk)
+            if mark or word != chunk:
+                ids = self[word] + (self[mark] if mark else b"")
+            else:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+    @staticmethod
+    def plain(chunk: str) -> tuple[str, str]:
+        """Parts that encode alone as they do in the chunk: a lower-case word and a last comma or stop, or the chunk.
+
+        Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter; the pre-tokeniser
+        parts letters from punctuation.
+        """
+        if chunk and max(chunk) < "\u0180" and "\u0130" not in chunk:
+            if chunk.isalpha():
+                return chunk.lower(), ""
+            if chunk[-1] in ",." and chunk[:-1].isalpha():
+                return chunk[:-1].lower(), chunk[-1]
+        return chunk, ""
 
 
 @lru_cache(maxsize=4)
