@@ -2,11 +2,12 @@
 
 Every line is parsed to a fixed depth: its token count, then its leading tokens, tokens with a digit being variable
 from the start (<*>). Lines of one leaf that recur across documents form templates: at each position a token that
-enough documents share there is constant, every other is a variable field. A template counts only where constants fill
+enough documents share there is constant, every other is a variable field (a line of fewer than five tokens has no
+room for one). A template counts only where constants fill
 at least SIMILARITY of its positions. Lines whose template occurs in MIN_DOCS documents or more are dropped, wherever
 they stand; the rest of a document is joined again in order.
 
-Passes move hashes of lines, not texts; token rows are made only for leaves that enough documents share. The texts
+Passes move hashes of lines, not texts; token rows are made only for lines of leaves that enough documents share. The texts
 shuffle once, to be put together again. Recurring line hashes are broadcast up to BROADCAST rows, else joined.
 
 Defined results: null text is one empty line; lines of white space alone are kept and never counted; a document all of
@@ -25,66 +26,63 @@ from tessera.llm.common import materialize, table
 MIN_DOCS = 3
 LEADING = 3
 SIMILARITY = 0.8
-#: Recurring line hashes that are broadcast at most (about 40 MB).
+#: Line hashes that are broadcast at most (about 40 MB).
 BROADCAST = 1_000_000
 FIELD = "<*>"
 
 
 def _masked(line: Column) -> Column:
-    """The line's tokens, those with a digit as a variable field."""
-    tokens = F.split(F.regexp_replace(F.trim(line), r"\S*\d\S*", FIELD), r"\s+")
-    return F.filter(tokens, lambda t: t != "")
+    """The line with blanks for all white space, trimmed, and tokens with a digit as a variable field; tokens are what
+    stands between single blanks."""
+    s = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
+    return F.when(s.rlike("[0-9]"), F.regexp_replace(s, "[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(s)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+def _parsed(docs: DataFrame) -> DataFrame:
+    """doc_id, masked, line (hash of the masked line), leaf (token count and leading tokens), n (tokens)."""
+    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    masked = lines.select("doc_id", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    n = F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1
+    return masked.select("doc_id", "masked", F.xxhash64("masked").alias("line"), F.xxhash64(n, F.substring_index("masked", " ", LEADING)).alias("leaf"), n.alias("n"))
 
 
-def _tree(tokens: str) -> list[Column]:
-    """A parsed line's hash, and the leaf it falls into."""
-    count = F.size(tokens)
-    leaf = F.xxhash64(count, F.array_join(F.slice(tokens, 1, LEADING), " "))
-    return [F.xxhash64(F.array_join(tokens, " ")).alias("line"), leaf.alias("leaf")]
+def _sized(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast where its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """(line): hashes of masked lines whose template recurs in at least min_docs documents."""
-    parsed = _lines(docs).select("doc_id", _masked(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    seen = materialize(parsed.select("doc_id", *_tree("tokens")).distinct())
-    exact = seen.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    # leaves that enough documents share through lines that do not recur as they are
-    single = seen.join(exact.select("line"), "line", "left_anti")
-    leaves = single.select("doc_id", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    leaves = materialize(leaves)
-    few = leaves.count() <= BROADCAST
-    open_lines = parsed.select("doc_id", "tokens", *_tree("tokens")).join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
-    fields = open_lines.select("doc_id", "leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("spot", "token"))
-    fields = fields.select("doc_id", "leaf", "line", "n", "spot", F.xxhash64("token").alias("token"), (F.col("token") == FIELD).alias("open"))
-    shared = materialize(fields.distinct())
-    constant = shared.filter("not open").select("doc_id", "leaf", "spot", "token").distinct().groupBy("leaf", "spot", "token").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
-    lines = shared.select("leaf", "line", "n", "spot", "token", "open").distinct().join(constant.withColumn("_constant", F.lit(True)), ["leaf", "spot", "token"], "left")
-    kept = F.col("_constant") & ~F.col("open")
-    generalised = lines.groupBy("leaf", "line", "n").agg(
-        F.sum(F.when(kept, 1).otherwise(0)).alias("constants"),
-        F.sum(F.when(kept, F.xxhash64("spot", "token").cast("decimal(38,0)"))).alias("template"),
-    )
-    templates = generalised.filter(F.col("constants") >= similarity * F.col("n"))
-    named = seen.join(templates, ["leaf", "line"]).select("doc_id", "leaf", "template", "line")
-    wide = named.select("doc_id", "leaf", "template").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    general = templates.join(wide.select("leaf", "template"), ["leaf", "template"]).select("line")
-    return materialize(exact.select("line").unionByName(general).distinct())
+    parsed = _parsed(docs)
+    pairs = parsed.select("doc_id", "line", "leaf", "n").distinct()
+    lines = materialize(pairs.groupBy("line", "leaf", "n").agg(F.count("*").alias("docs")))
+    exact = lines.filter(F.col("docs") >= min_docs).select("line")
+    # a variable field leaves enough constants only in longer lines; leaves count where other lines share them
+    single = lines.filter((F.col("docs") < min_docs) & (F.col("n") - 1 >= similarity * F.col("n")))
+    shared = single.groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    open_lines = materialize(single.select("line", "leaf").join(shared, "leaf", "left_semi").select("line"))
+    some = parsed.join(_sized(open_lines), "line", "left_semi")
+    hashed = F.transform(F.split("masked", " "), lambda t: F.when(t != FIELD, F.xxhash64(t)))
+    some = materialize(some.select("doc_id", "leaf", "line", "n", hashed.alias("tokens")).dropDuplicates(["doc_id", "line"]))
+    fields = some.select("doc_id", "leaf", "line", "n", F.posexplode("tokens").alias("spot", "token")).filter(F.col("token").isNotNull())
+    constants = fields.groupBy("leaf", "spot", "token").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "spot", "token")
+    kept = fields.join(constants, ["leaf", "spot", "token"])
+    general = kept.groupBy("doc_id", "leaf", "line", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("spot", "token").cast("decimal(38,0)")).alias("template"))
+    general = materialize(general.filter(F.col("constants") >= similarity * F.col("n")).select("doc_id", "leaf", "template", "line"))
+    wide = general.select("doc_id", "leaf", "template").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    found = general.join(wide.select("leaf", "template"), ["leaf", "template"], "left_semi").select("line")
+    return materialize(exact.unionByName(found).distinct())
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with their text less the recurring lines, and n_lines and n_dropped."""
     found = recurring(docs.select("doc_id", "text"), min_docs, similarity).withColumn("_dropped", F.lit(True))
-    few = found.count() <= BROADCAST
     rest = [c for c in docs.columns if c != "text"]
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest).alias("_rest"), F.coalesce("text", F.lit("")).alias("_whole"))
     rows = numbered.select("_row", "_rest", F.posexplode(F.split("_whole", "\n")).alias("_spot", "_text"))
-    rows = rows.withColumn("_rest", F.when(F.col("_spot") == 0, F.col("_rest"))).withColumn("_tokens", _masked(F.col("_text")))
-    keyed = rows.withColumn("line", F.when(F.size("_tokens") > 0, _tree("_tokens")[0])).drop("_tokens")
-    judged = keyed.join(F.broadcast(found) if few else found, "line", "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
+    rows = rows.withColumn("_rest", F.when(F.col("_spot") == 0, F.col("_rest"))).withColumn("_masked", _masked(F.col("_text")))
+    keyed = rows.withColumn("line", F.when(F.col("_masked") != "", F.xxhash64("_masked"))).drop("_masked")
+    judged = keyed.join(_sized(found), "line", "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
     entry = F.struct(F.col("_spot").alias("spot"), F.when(~F.col("_dropped"), F.col("_text")).alias("text"))
     whole = judged.groupBy("_row").agg(F.array_sort(F.collect_list(entry)).alias("_all"), F.first("_rest", ignorenulls=True).alias("_rest"))
     left = F.filter("_all", lambda x: x["text"].isNotNull())
