@@ -15,7 +15,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +32,6 @@ END = 1
 SHARD = 12_000
 #: A bin with more room than this goes to the second round.
 ROOM = 8
-#: Underfull bins that the local search of one shard looks at together, and its sweeps over them.
-SEARCH, SWEEPS = 256, 4
 #: Chunks in each of the two generations of ids that a worker keeps.
 KEPT = 900_000
 
@@ -150,54 +148,155 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, limit: int = SEARCH, sweeps: int = SWEEPS) -> list[list[int]]:
-    """Local search over underfull bins; squared fill rises at every step, so it ends.
+def _sums(held: dict[int, list[int]], capacity: int) -> int:
+    """Bit s is set where none, one or two pieces of the bin (size: its pieces) add up to s."""
+    one = 0
+    for size in held:
+        one |= 1 << size
+    sums = 1 | one
+    for size, own in held.items():
+        sums |= (one if len(own) > 1 else one & ~(1 << size)) << size
+    return sums & ((1 << capacity) - 1)
+
+
+def _best_trades(sums: int, there: int, room: int) -> tuple[int, dict[int, int]]:
+    """The largest gain g <= room with a piece of size s in there and s - g in sums, and each such s with its s - g."""
+    best, found = 0, {}
+    if sums.bit_count() <= room:
+        while sums:
+            back = sums.bit_length() - 1
+            sums ^= 1 << back
+            size = (there & ((2 << (back + room)) - 1)).bit_length() - 1
+            if size - back > best:
+                best, found = size - back, {}
+            if size - back == best:
+                found[size] = back
+    else:
+        best, hits = room, (sums << room) & there
+        while best and not hits:
+            best -= 1
+            hits = (sums << best) & there
+        while best and hits:
+            size = hits.bit_length() - 1
+            hits ^= 1 << size
+            found[size] = size - best
+    return best, found
+
+
+class _Givers:
+    """Bins that may give, by the sizes of their pieces: a bit for each size there is and a heap of (fill, bin) each."""
+
+    def __init__(self, held: list[dict[int, list[int]]], fill: list[int], bins: Iterable[int]):
+        self.held, self.fill = held, fill
+        self.inside: set[int] = set()
+        self.count: dict[int, int] = {}
+        self.heaps: dict[int, list[tuple[int, int]]] = {}
+        self.bits = 0
+        for b in bins:
+            self.add(b)
+
+    def add(self, b: int) -> None:
+        self.inside.add(b)
+        for size in self.held[b]:
+            n = self.count.get(size, 0)
+            self.count[size] = n + 1
+            if not n:
+                self.bits |= 1 << size
+            heapq.heappush(self.heaps.setdefault(size, []), (self.fill[b], b))
+
+    def drop(self, b: int) -> None:
+        self.inside.discard(b)
+        for size in self.held[b]:
+            self.count[size] -= 1
+            if not self.count[size]:
+                self.bits ^= 1 << size
+
+    def emptiest(self, size: int) -> tuple[int, int]:
+        """(fill, bin) of the emptiest bin that holds the size; entries that no longer hold are thrown away."""
+        heap = self.heaps[size]
+        while (top := heap[0])[1] not in self.inside or self.fill[top[1]] != top[0] or size not in self.held[top[1]]:
+            heapq.heappop(heap)
+        return top
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search over all underfull bins; squared fill rises at every step, so it ends.
 
     The fuller bin of a pair (room r) receives: a piece that fits (move), or a piece that is larger than one, or than
-    two, of its own by at most r (exchange). The largest gain is taken. The emptiest bins give first.
+    two, of its own by at most r (exchange). A sweep takes the bins from the fullest down; each takes the largest gain
+    that any bin no fuller than itself offers, from the emptiest such bin, until none is left. Sizes are bits of whole
+    numbers, so all pieces of all bins are looked at together. It ends with a sweep that finds no trade.
     """
+    held: list[dict[int, list[int]]] = [{} for _ in bins]
+    for b, own in enumerate(bins):
+        for i in own:
+            held[b].setdefault(sizes[i], []).append(i)
     fill = [sum(sizes[i] for i in b) for b in bins]
-    loose = heapq.nsmallest(limit, (b for b in range(len(bins)) if fill[b] < capacity), key=fill.__getitem__)
-    for _ in range(sweeps):
-        better = False
-        for giver in sorted(loose, key=fill.__getitem__):
-            for taker in sorted((b for b in loose if b != giver and fill[b] < capacity), key=lambda b: -fill[b]):
-                if not bins[giver]:
-                    break
-                if fill[taker] < fill[giver]:
-                    continue
-                better |= _trade(bins, sizes, fill, giver, taker, capacity)
-        loose = [b for b in loose if bins[b] and fill[b] < capacity]
-        if not better:
-            break
-    return [b for b in bins if b]
-
-
-def _trade(bins, sizes, fill, giver: int, taker: int, capacity: int) -> bool:
-    room = capacity - fill[taker]
-    give = sorted((sizes[i], i) for i in bins[giver])
-    heads = [s for s, _ in give]
-    best, swap = 0, None
-    at = bisect.bisect_right(heads, room)
-    if at:
-        best, swap = heads[at - 1], ([give[at - 1][1]], [])
-    mine = sorted((sizes[i], i) for i in bins[taker])[:24]
-    backs = [(s, [i]) for s, i in mine]
-    backs += [(mine[x][0] + mine[y][0], [mine[x][1], mine[y][1]]) for x in range(len(mine)) for y in range(x)]
-    for size, back in backs:
-        at = bisect.bisect_right(heads, size + room)
-        if at and heads[at - 1] - size > best:
-            best, swap = heads[at - 1] - size, ([give[at - 1][1]], back)
-            if best == room:
+    while _sweep(held, fill, capacity):
+        pass
+    return [[i for own in h.values() for i in own] for h in held if h]
+
+
+def _sweep(held: list[dict[int, list[int]]], fill: list[int], capacity: int) -> bool:
+    loose = [b for b in range(len(held)) if held[b] and fill[b] < capacity]
+    givers = _Givers(held, fill, loose)
+    order = [(-fill[b], b) for b in loose]
+    heapq.heapify(order)
+    better = False
+    seen: set[int] = set()  # bins that took all they could, at this level: they may still give to one as full
+    level = capacity
+    while order:
+        at, taker = heapq.heappop(order)
+        if taker not in givers.inside or fill[taker] != -at or taker in seen:
+            continue
+        if fill[taker] < level:
+            for b in seen:
+                givers.drop(b)
+            seen, level = set(), fill[taker]
+        givers.drop(taker)
+        sums = _sums(held[taker], capacity)
+        while fill[taker] < capacity:
+            gain, found = _best_trades(sums, givers.bits, capacity - fill[taker])
+            if not gain:
                 break
-    if not swap:
-        return False
-    there, back = swap
-    bins[giver] = [i for i in bins[giver] if i not in there] + back
-    bins[taker] = [i for i in bins[taker] if i not in back] + there
-    fill[taker] += best
-    fill[giver] -= best
-    return True
+            (_, giver), size = min((givers.emptiest(s), s) for s in found)
+            givers.drop(giver)
+            _exchange(held, taker, giver, size, found[size])
+            fill[taker] += gain
+            fill[giver] -= gain
+            if held[giver]:
+                givers.add(giver)
+                heapq.heappush(order, (-fill[giver], giver))
+            seen.discard(giver)
+            sums = _sums(held[taker], capacity)
+            better = True
+        if fill[taker] == -at:
+            givers.add(taker)
+            seen.add(taker)
+    return better
+
+
+def _exchange(held: list[dict[int, list[int]]], taker: int, giver: int, size: int, back: int) -> None:
+    """A piece of that size goes to the taker; none, one or two of its pieces, back in sum, return."""
+    mine = held[taker]
+    if not back:
+        returned = []
+    elif back in mine:
+        returned = [back]
+    else:
+        one = next(s for s in mine if back - s in mine and (2 * s != back or len(mine[s]) > 1))
+        returned = [one, back - one]
+    moves = [(giver, taker, size)] + [(taker, giver, s) for s in returned]
+    pieces = [(to, s, _take(held[of], s)) for of, to, s in moves]
+    for to, s, i in pieces:
+        held[to].setdefault(s, []).append(i)
+
+
+def _take(held: dict[int, list[int]], size: int) -> int:
+    i = held[size].pop()
+    if not held[size]:
+        del held[size]
+    return i
 
 
 _PLACED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long, sequence_id long, offset long, room long"

@@ -244,6 +244,24 @@ def test_local_search_empties_bins():
         assert len(after) <= len(before) and max(sum(sizes[i] for i in b) for b in after) <= 100
 
 
+def test_local_search_leaves_no_trade():
+    """Over 256 underfull bins, some of over 24 pieces: no pair of bins has a move or an exchange left."""
+    rng = np.random.default_rng(1)
+    sizes = [*rng.integers(900, 1701, 1000).tolist(), *rng.integers(60, 90, 400).tolist()]
+    bins = [*packing.best_fit(sizes[:1000], 4096), *[list(range(i, i + 40)) for i in range(1000, 1400, 40)]]
+    after = packing.improve([list(b) for b in bins], sizes, 4096)
+    assert sorted(i for b in after for i in b) == list(range(1400))
+    fills = [sum(sizes[i] for i in b) for b in after]
+    assert max(fills) <= 4096 and len(after) < len(bins) - 15
+    for b, fill in zip(after, fills):
+        own = [sizes[i] for i in b]
+        backs = np.array([0, *own, *[x + y for j, x in enumerate(own) for y in own[:j]]])
+        for other, less in zip(after, fills):
+            if other is not b and less <= fill < 4096:
+                gain = np.array([sizes[i] for i in other])[:, None] - backs
+                assert not ((gain > 0) & (gain <= 4096 - fill)).any()
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
