@@ -11,7 +11,8 @@ Benchmark seeds are broadcast only up to BROADCAST rows, else both sides shuffle
 (doc_id, item, diagonal) map-side; documents without a hit are never verified.
 
 Defined results: null or wordless texts never match; items of fewer words than a mask spans are matched whole, word by
-word; null doc_ids are compared as equal for candidates and verified on their own text; repeated rows come back once
+word; null doc_ids are compared as equal for candidates and verified on their own text; items with a null item_id are
+matched like any other and share the null item_id in contaminated(); repeated rows come back once
 each from clean() and share their doc_id's rows in contaminated(); empty tables give no match; extra columns are
 carried by clean(), whose internal names start with an underscore.
 """
@@ -98,7 +99,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(_items(benchmark))
     found = candidates(docs.select("doc_id", "text"), items)
     some = items.groupBy("item_id").agg(F.collect_set("item").alias("variants"))
-    named = found.join(some, "item_id").select("doc_id", "item_id", "shift", F.explode("variants").alias("item"))
+    named = found.join(some.withColumnRenamed("item_id", "_item_id"), F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", "item_id", "shift", F.explode("variants").alias("item"))
     by_doc = named.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("_candidates"))
     joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_doc"]), "left").drop("_doc")
     told = joined.withColumn("_tokens", F.when(F.col("_candidates").isNotNull(), words(F.col("text"))))

@@ -362,6 +362,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_items_without_an_id_are_found(spark):
+    one, two = text(21, 30), text(22, 30)
+    frame = spark.createDataFrame([(1, "a " + one), (2, two + " b"), (3, text(23, 30)), (4, text(24, 30))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (None, two), (7, text(23, 30))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.equal_words) for r in decontaminate.contaminated(frame, bench).collect()} == {(1, None, 30), (2, None, 30), (3, 7, 30)}
+    assert [r.doc_id for r in decontaminate.clean(frame, bench).collect()] == [4]
+
+
 def test_decontamination_shuffles_where_seeds_are_many(spark):
     items = decontaminate._items(spark.createDataFrame([(1, text(9, 30))], "item_id long, text string"))
     frame = spark.createDataFrame([(5, "a " + text(9, 30)), (6, text(8, 30))], "doc_id long, text string")
