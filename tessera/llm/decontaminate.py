@@ -5,7 +5,7 @@ word hides a hit only where a mask reads it; the two masks also miss no passage
 Hashes of all masks at all positions of a document meet those of the benchmark by an equality join; a hit names an
 item and a diagonal (the shift between document and item). Each diagonal is then verified on the words themselves: a
 document is contaminated where the aligned item agrees in at least 0.8 of its words, or where a run of at least
-RUN words agrees in at least 0.8.
+RUN words agrees in at least 0.8. The longest such run of a diagonal is found exactly; words at its ends may differ.
 
 Benchmark seeds are broadcast only up to BROADCAST rows, else both sides shuffle. Only hits shuffle, combined by
 (doc_id, item, diagonal) map-side; documents without a hit are never verified.
@@ -27,6 +27,8 @@ from tessera.llm.common import materialize, table
 #: Word positions that each mask reads.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 5, 7))
 SIMILARITY = 0.8
+#: Words that a segment needs for each word that differs: 1 / (1 - SIMILARITY).
+PER_MISS = 5
 #: Words of a partial run that count as an overlap, and the share of an item below which only such runs count.
 RUN = 13
 #: Benchmark seeds that are broadcast at most (about 40 MB).
@@ -73,25 +75,51 @@ def candidates(docs: DataFrame, items: DataFrame, broadcast: int = BROADCAST) ->
     return materialize(found)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, though f names it more often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _longest(ends: Column) -> Column:
+    """Words and equal words of the longest segment that agrees in at least SIMILARITY.
+
+    ends: 0, the places of the words that differ, and the number of words plus 1. A longest segment fills the gap
+    between two of them, number i and j: it has ends[j] - ends[i] - 1 words, of which j - i - 1 differ, so it agrees
+    well enough where ends[i] - PER_MISS * i <= ends[j] - PER_MISS * j + PER_MISS - 1. Sorted by these two sides, each j
+    comes after all i that it may pair with, of which the lowest is kept.
+    """
+
+    def side(stop: int) -> Column:
+        return F.transform(ends, lambda z, i: F.struct((z - PER_MISS * i + stop * (PER_MISS - 1)).alias("key"), F.lit(stop).alias("stop"), z.alias("end"), i.alias("number")))
+
+    def step(s: Column, e: Column) -> Column:
+        start, stop = (e["stop"] == 0) & (e["end"] < s["end"]), e["stop"] == 1
+        n = e["end"] - s["end"] - 1
+        hit = n - (e["number"] - s["number"] - 1)
+        longer = stop & ((n > s["best"]) | ((n == s["best"]) & (hit > s["best_hit"])))
+        return F.struct(*[F.when(on, new).otherwise(s[old]).alias(old) for on, new, old in ((start, e["end"], "end"), (start, e["number"], "number"), (longer, n, "best"), (longer, hit, "best_hit"))])
+
+    zero = F.lit(0)
+    first = F.struct(F.lit(2**31 - 1).alias("end"), zero.alias("number"), zero.alias("best"), zero.alias("best_hit"))
+    return F.aggregate(F.sort_array(F.concat(side(0), side(1))), first, step)
+
+
 def _agreement(tokens: str, c: Column) -> Column:
-    """Of one candidate: words aligned and equal, and the longest run that keeps its agreement above 0.75."""
+    """Of one candidate: words aligned and equal, and the longest run that agrees in at least SIMILARITY."""
     first = F.greatest(-c["shift"], F.lit(0))
     item = F.slice(c["item"], first + 1, F.size(c["item"]))
     part = F.slice(F.col(tokens), F.greatest(c["shift"], F.lit(0)) + 1, F.size(item))
-    same = F.zip_with(F.slice(item, F.lit(1), F.greatest(F.size(part), F.lit(0))), part, lambda a, b: (a == b).cast("int"))
-    zero = F.lit(0)
-    start = F.struct(zero.alias("score"), zero.alias("n"), zero.alias("hit"), zero.alias("best"), zero.alias("best_hit"))
+    same = F.zip_with(F.slice(item, F.lit(1), F.greatest(F.size(part), F.lit(0))), part, lambda a, b: a == b)
 
-    def step(s: Column, e: Column) -> Column:
-        score = s["score"] + F.when(e == 1, 1).otherwise(-3)
-        on = score > 0
-        n, hit = F.when(on, s["n"] + 1).otherwise(0), F.when(on, s["hit"] + e).otherwise(0)
-        longer = on & (e == 1) & (hit >= SIMILARITY * n) & (n > s["best"])
-        return F.struct(F.when(on, score).otherwise(0).alias("score"), n.alias("n"), hit.alias("hit"), F.when(longer, n).otherwise(s["best"]).alias("best"), F.when(longer, hit).otherwise(s["best_hit"]).alias("best_hit"))
-
-    run = F.aggregate(same, start, step)
-    equal = F.aggregate(same, F.lit(0), lambda a, e: a + e)
-    return F.struct(c["item_id"].alias("item_id"), F.size(c["item"]).alias("item_words"), equal.alias("equal"), run["best"].alias("run"), run["best_hit"].alias("run_equal"))
+    def ends(e: Column) -> Column:
+        misses = F.filter(F.transform(e, lambda x, i: F.when(~x, i + 1)), lambda i: i.isNotNull())
+        return F.concat(F.array(F.lit(0)), misses, F.array(F.size(e) + 1))
+
+    def told(z: Column) -> Column:
+        equal = F.element_at(z, -1) - F.size(z) + 1
+        return _let(_longest(z), lambda run: F.struct(c["item_id"].alias("item_id"), F.size(c["item"]).alias("item_words"), equal.alias("equal"), run["best"].alias("run"), run["best_hit"].alias("run_equal")))
+
+    return _let(_let(same, ends), told)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -362,6 +362,32 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_longest_run_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    item = [f"w{i}" for i in range(60)]
+    rows, want = [], {}
+    for d in range(150):
+        n, start = int(rng.integers(10, 30)), int(rng.integers(0, 30))
+        equal = np.zeros(60, int)
+        equal[start : start + n] = rng.random(n) < rng.choice([0.75, 0.85, 1.0])
+        sums = np.r_[0, np.cumsum(5 * equal - 4)]
+        want[d] = max((j - i for i in range(61) for j in range(i + 1, 61) if sums[j] >= sums[i]), default=0)
+        rows.append((d, [w if e else "x" for w, e in zip(item, equal)]))
+    frame = spark.createDataFrame(rows, "doc_id int, tokens array<string>").withColumn("c", F.struct(F.lit(1).alias("item_id"), F.array(*map(F.lit, item)).alias("item"), F.lit(0).alias("shift")))
+    got = frame.select("doc_id", decontaminate._agreement("tokens", F.col("c")).alias("a")).collect()
+    assert {r.doc_id: r.a["run"] for r in got} == want
+    assert all(r.a["equal"] == sum(w != "x" for w in rows[r.doc_id][1]) and r.a["run_equal"] * 5 >= r.a["run"] * 4 for r in got)
+
+
+def test_partial_run_with_an_early_substitution(spark):
+    item = text(31, 60).split()
+    part = item[20:40]
+    part[1] = part[7] = part[9] = "other"
+    frame = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(30)) + " " + " ".join(part) + " z z z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.run_words) for r in decontaminate.contaminated(frame, bench).collect()] == [(1, 21)]
+
+
 def test_items_without_an_id_are_found(spark):
     one, two = text(21, 30), text(22, 30)
     frame = spark.createDataFrame([(1, "a " + one), (2, two + " b"), (3, text(23, 30)), (4, text(24, 30))], "doc_id long, text string")
