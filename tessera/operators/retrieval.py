@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,10 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None =
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
     q = queries.select("query_id", unit(F.col("vector")).alias("_q"))
-    scored = items.select("item_id", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("item_id"), F.lit(32)).alias("_part")).join(F.broadcast(q), F.lit(True))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    near_items = items.select("item_id", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("item_id"), F.lit(32)).alias("_part"))
+    parts = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)] if blocks > 1 else [q]
+    scored = reduce(DataFrame.unionByName, [near_items.join(F.broadcast(part), F.lit(True)) for part in parts])
     scored = scored.select("query_id", "item_id", "_part", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
     if least is not None:
         scored = scored.filter(F.col("score") >= least)

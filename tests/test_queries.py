@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL, and the ones without SQL against a model."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import catalog
 
@@ -54,6 +55,19 @@ def test_greedy_assignment_model(spark, data):
     assert {(r.nation, r.s_suppkey, r.c_custkey) for r in greedy_assignment(spark, data).collect()} == want
 
 
+def test_nearest_meets_queries_in_blocks(spark, data, monkeypatch):
+    from tessera.operators import retrieval
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    asked, items = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "item_id")
+    want = sorted(retrieval.nearest(asked, items, 3).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    got = retrieval.nearest(asked, items, 3)
+    assert sorted(got.collect()) == want and len(want) == 3 * asked.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == -(-asked.count() // 4)
+
+
 def test_nearest_right_model(spark, data):
     from tessera.plans.spatial_views import blocks, nearest_right_pairs
 
