@@ -69,15 +69,21 @@ def greedy_assignment(spark, sf_dir):
 def near_duplicate_contamination(spark, sf_dir):
     """J14, containment: documents that hold a benchmark text as it stands.
 
-    Blocked by the text's first words: each document position that starts with them is looked up, so the join is an
-    equi-join and not a product.
+    Blocked by the text's first characters: what stands at each position of a document is looked up, so the join is an
+    equi-join and not a product. A text of fewer characters than the key is looked up by all of them.
     """
-    key = 12
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("b")).withColumn("head", F.substring("b", 1, key))
+    return holders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def holders(documents, benchmark, key: int = 12):
+    """doc_id, item_id: documents (doc_id, text) that hold a text of benchmark (item_id, text), in any case."""
+    b = benchmark.select("item_id", F.lower("text").alias("b")).filter("b IS NOT NULL").withColumn("head", F.substring("b", 1, key))
     heads = F.broadcast(b.select("head").distinct()) if b.count() <= 100_000 else b.select("head").distinct()
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("d"))
-    # a benchmark text starts a word, so only places at the start or after white space are looked up
-    each = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("d", F.lit(rf"(?s)(?:^|(?<=\s))(?=(.{{{key}}}))"), F.lit(1)))).alias("head"))
+    d = documents.select("doc_id", F.lower("text").alias("d"))
+    sizes = [r[0] for r in b.select(F.char_length("head")).distinct().collect()]  # at most key + 1 of them
+    places = [F.regexp_extract_all("d", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes) if n]
+    places += [F.when(F.col("d").isNotNull(), F.array(F.lit("")))] if 0 in sizes or not sizes else []
+    each = d.select("doc_id", F.explode(F.array_distinct(F.concat(*places))).alias("head"))
     hits = each.join(heads, "head", "left_semi")
     found = hits.join(b, "head").join(d, "doc_id").filter(F.col("d").contains(F.col("b")))
     return found.select("doc_id", "item_id").distinct()

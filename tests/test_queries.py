@@ -68,6 +68,21 @@ def test_nearest_meets_queries_in_blocks(spark, data, monkeypatch):
     assert plan.count("Join ") == -(-asked.count() // 4)
 
 
+def test_containment_at_any_position(spark):
+    from tessera.plans.matching import holders
+
+    long = "Some Passage of a benchmark"
+    texts = [long, f"x\u201c{long}", f"a\u00a0{long}.", f"in({long})", f"pre{long}", "he said:Tiny one", "some passage of another", None, "", "\U0001f600" + long]
+    items = [(1, long), (2, "tiny"), (3, None), (4, "\U0001f600s")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    want = {(i, k) for i, t in enumerate(texts) for k, x in items if t is not None and x is not None and x.lower() in t.lower()}
+    assert {(r.doc_id, r.item_id) for r in holders(d, b).collect()} == want and len(want) == 8
+    empty = holders(d, spark.createDataFrame([(9, "")], b.schema)).collect()
+    assert {r.doc_id for r in empty} == set(range(len(texts))) - {7}
+    assert holders(d, b.limit(0)).count() == 0
+
+
 def test_nearest_right_model(spark, data):
     from tessera.plans.spatial_views import blocks, nearest_right_pairs
 
