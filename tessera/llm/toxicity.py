@@ -19,6 +19,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -77,9 +78,8 @@ class Hasher:
                     kept[w] = self.code(w)
             found = list(map(kept.__getitem__, words))
         votes = np.zeros(len(FUNCTION_WORDS))
-        for w in map(_BY_WORD.get, words[:: max(1, len(words) // 400)]):
-            if w is not None:
-                votes += w
+        for w, n in Counter(filter(_BY_WORD.__contains__, words)).items():
+            votes += n * _BY_WORD[w]
         language = int(votes.argmax()) if votes.any() else len(FUNCTION_WORDS)
         found += [_PAD] * (max(WIDTHS) - len(found))
         return np.array(found, dtype=np.int64), language

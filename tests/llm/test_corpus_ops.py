@@ -282,6 +282,11 @@ def test_toxicity_learns_and_generalises(spark):
     assert got[2].predicted == 1
 
 
+def test_language_is_told_from_all_words():
+    words = ["zzz", "the"] * 400 + ["und", "zzz"]  # every second word shows one German word alone
+    assert toxicity.Hasher().codes(" ".join(words))[1] == toxicity.LANGUAGES.index("en")
+
+
 def test_toxicity_query_holds_out(spark, data, empty):
     rows = toxicity.op10_toxicity(spark, data).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) for r in rows)
