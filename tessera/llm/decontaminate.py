@@ -7,18 +7,21 @@ item and a diagonal (the shift between document and item). Each diagonal is then
 document is contaminated where the aligned item agrees in at least 0.8 of its words, or where a run of at least
 RUN words agrees in at least 0.8. The longest such run of a diagonal is found exactly; words at its ends may differ.
 
-Benchmark seeds are broadcast only up to BROADCAST rows, else both sides shuffle. Only hits shuffle, combined by
-(doc_id, item, diagonal) map-side; documents without a hit are never verified.
-
-Defined results: null or wordless texts never match; items of fewer words than a mask spans are matched whole, word by
-word; null doc_ids are compared as equal for candidates and verified on their own text; items with a null item_id are
-matched like any other and share the null item_id in contaminated(); repeated rows come back once
-each from clean() and share their doc_id's rows in contaminated(); empty tables give no match; extra columns are
-carried by clean(), whose internal names start with an underscore.
+Seeds, items and keys of hit documents are broadcast only up to BROADCAST rows, else both sides shuffle. Only distinct
+(document, item, diagonal) rows shuffle, combined map-side, and each is verified on its own; a document without a hit is
+never verified. Items of fewer than eight words, which the masks do not fit in every place, have masks of their own.
+
+Defined results: null or wordless texts never match; items of fewer than five words are matched whole; rows of one
+doc_id, null too, are verified and kept each by its own text and share the doc_id's rows in contaminated(); items with a
+null item_id are matched like any other and share the null item_id in contaminated(); repeated rows come back once each
+from clean(); empty tables give no match; extra columns are carried by clean(), whose internal names start with an
+underscore.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ SIMILARITY = 0.8
 PER_MISS = 5
 #: Words of a partial run that count as an overlap, and the share of an item below which only such runs count.
 RUN = 13
-#: Benchmark seeds that are broadcast at most (about 40 MB).
+#: Items of this many words or more are found by MASKS, shorter ones by masks of their own length.
+LONG = max(m[-1] for m in MASKS) + 1
+#: Rows of seeds, items or document keys that are broadcast at most (about 40 MB).
 BROADCAST = 1_000_000
 
 
@@ -51,28 +56,46 @@ def _seeds(tokens: str, masks: dict[int, tuple[int, ...]]) -> Column:
     return F.concat(*[one(n, m) for n, m in masks.items()])
 
 
+def _item_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks that miss no item of n words whose agreement is SIMILARITY: fewer than PER_MISS words are read whole, and up
+    to the span of a fixed mask every way to leave out one word is a mask."""
+    if n < PER_MISS:
+        return (tuple(range(n)),)
+    if n < LONG:
+        return (tuple(range(n - 1)), *[tuple(k for k in range(n) if k != out) for out in range(1, n - 1)])
+    return MASKS
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") > 0)
+    """item_id, item (its words), _item (a hash of both); one row each."""
+    named = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    return named.withColumn("_item", F.xxhash64("item_id", "item"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _hash: rows of one doc_id, null too, are told apart by their text."""
+    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _sized(df: DataFrame, limit: int) -> DataFrame:
+    """A written frame, to be broadcast where it has few enough rows."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def candidates(docs: DataFrame, items: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
-    """doc_id, candidates: an array of (item_id, item, shift), distinct."""
-    spans = [m[-1] + 1 for m in MASKS]
-    masks = dict(enumerate(MASKS))
-    short = [r[0] for r in items.filter(F.size("item") < min(spans)).select(F.size("item")).distinct().orderBy(F.size("item")).collect()]
-    whole = {len(masks) + n: tuple(range(n)) for n in short}  # fewer than the span of a mask, so a handful at most
-    fits = F.size("item") < min(spans)
-    long_seeds = items.filter(~fits).select("item_id", F.inline(_seeds("item", masks)))
-    seeds = long_seeds
-    for number, mask in whole.items():
-        seeds = seeds.unionByName(items.filter(F.size("item") == len(mask)).select("item_id", F.inline(_seeds("item", {number: mask}))))
-    seeds = materialize(seeds.select("item_id", F.col("spot").alias("at"), "seed").distinct())
-    tokens = docs.select("doc_id", words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    spots = tokens.select("doc_id", F.inline(_seeds("tokens", masks | whole)))
-    few = seeds.count() <= broadcast
-    hits = spots.join(F.broadcast(seeds) if few else seeds, "seed").select("doc_id", "item_id", (F.col("spot") - F.col("at")).alias("shift"))
-    found = hits.groupBy("doc_id", "item_id", "shift").agg(F.lit(1).alias("_one")).drop("_one")
-    return materialize(found)
+    """doc_id, _hash, _item, shift of every seed hit, distinct, as a written table."""
+    length = F.least(F.size("item"), F.lit(LONG))
+    lengths = sorted(r[0] for r in items.select(length.alias("n")).distinct().collect())  # LONG at most
+    number = {m: i for i, m in enumerate(dict.fromkeys(m for n in lengths for m in _item_masks(n)))}
+    if not number:
+        number = {m: i for i, m in enumerate(MASKS)}
+    seeds = [items.filter(length == n).select("_item", F.inline(_seeds("item", {number[m]: m for m in _item_masks(n)}))) for n in lengths]
+    every = reduce(DataFrame.unionByName, seeds) if seeds else items.select("_item", F.lit(0).alias("spot"), F.lit(0).cast("long").alias("seed"))
+    every = materialize(every.select("_item", F.col("spot").alias("at"), "seed").distinct())
+    tokens = _keyed(docs).select("doc_id", "_hash", words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    spots = tokens.select("doc_id", "_hash", F.inline(_seeds("tokens", {i: m for m, i in number.items()})))
+    hits = spots.join(_sized(every, broadcast), "seed").select("doc_id", "_hash", "_item", (F.col("spot") - F.col("at")).alias("shift"))
+    return materialize(hits.distinct())
 
 
 def _let(value: Column, f) -> Column:
@@ -122,29 +145,39 @@ def _agreement(tokens: str, c: Column) -> Column:
     return _let(_let(same, ends), told)
 
 
-def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with _hits: the verified overlaps of each row, as an array of structs; empty where clean."""
-    items = materialize(_items(benchmark))
-    found = candidates(docs.select("doc_id", "text"), items)
-    some = items.groupBy("item_id").agg(F.collect_set("item").alias("variants"))
-    named = found.join(some.withColumnRenamed("item_id", "_item_id"), F.col("item_id").eqNullSafe(F.col("_item_id"))).select("doc_id", "item_id", "shift", F.explode("variants").alias("item"))
-    by_doc = named.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("_candidates"))
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_doc"]), "left").drop("_doc")
-    told = joined.withColumn("_tokens", F.when(F.col("_candidates").isNotNull(), words(F.col("text"))))
-    checked = F.transform("_candidates", lambda c: _agreement("_tokens", c))
-    good = F.filter(checked, lambda a: (a["equal"] >= SIMILARITY * a["item_words"]) | (a["run"] >= RUN))
-    return told.withColumn("_hits", F.coalesce(good, F.array().cast("array<struct<item_id:bigint,item_words:int,equal:int,run:int,run_equal:int>>"))).drop("_candidates", "_tokens")
-
+def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """doc_id, _hash, item_id, item_words, equal, run, run_equal of every verified overlap of documents (doc_id, text).
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap, with all their columns."""
-    return marked(docs, benchmark).filter(F.size("_hits") == 0).select(*docs.columns)
+    Candidates are verified one by one: a row holds one item, one shift and the document's words. Documents without a
+    candidate are left out by their keys first.
+    """
+    items = materialize(_items(benchmark))
+    found = candidates(docs, items, broadcast)
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["_doc_id"]) & (a["_hash"] == b["_key"])
+    keys = materialize(found.select(F.col("doc_id").alias("_doc_id"), F.col("_hash").alias("_key")).distinct())
+    keyed = _keyed(docs.select("doc_id", "text"))
+    hit = keyed.join(_sized(keys, broadcast), same(keyed, keys), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    hit = hit.select(F.col("doc_id").alias("_doc_id"), F.col("_hash").alias("_key"), words(F.col("text")).alias("_tokens"))
+    named = found.join(_sized(items, broadcast), "_item")
+    met = named.join(hit, same(named, hit))
+    told = met.select("doc_id", "_hash", _agreement("_tokens", F.struct("item_id", "item", "shift")).alias("_a"))
+    good = (F.col("_a.equal") >= SIMILARITY * F.col("_a.item_words")) | (F.col("_a.run") >= RUN)
+    return told.filter(good).select("doc_id", "_hash", "_a.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+    """The documents without an overlap, with all their columns; their texts do not shuffle while the keys of
+    contaminated documents number at most broadcast."""
+    bad = overlaps(docs, benchmark, broadcast)
+    bad = materialize(bad.select(F.col("doc_id").alias("_doc_id"), F.col("_hash").alias("_key")).distinct())
+    keyed = _keyed(docs)
+    hit = keyed["doc_id"].eqNullSafe(bad["_doc_id"]) & (keyed["_hash"] == bad["_key"])
+    return keyed.join(_sized(bad, broadcast), hit, "left_anti").select(*docs.columns)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item_words, equal_words, similarity, run_words: the best overlap of each pair."""
-    hits = marked(docs.select("doc_id", "text"), benchmark).filter(F.size("_hits") > 0).select("doc_id", F.inline("_hits"))
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", "run", "run_equal", "item_words")).alias("b"))
+    best = overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", "run", "run_equal", "item_words")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.item_words").alias("item_words"), F.col("b.equal").alias("equal_words"), (F.col("b.equal") / F.col("b.item_words")).alias("similarity"), F.col("b.run").alias("run_words"))
 
 

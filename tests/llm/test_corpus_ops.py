@@ -402,10 +402,59 @@ def test_items_without_an_id_are_found(spark):
 
 
 def test_decontamination_shuffles_where_seeds_are_many(spark):
-    items = decontaminate._items(spark.createDataFrame([(1, text(9, 30))], "item_id long, text string"))
-    frame = spark.createDataFrame([(5, "a " + text(9, 30)), (6, text(8, 30))], "doc_id long, text string")
-    near = {(r.doc_id, r.item_id, r["shift"]) for r in decontaminate.candidates(frame, items, broadcast=0).collect()}
-    assert near == {(r.doc_id, r.item_id, r["shift"]) for r in decontaminate.candidates(frame, items).collect()} and (5, 1, 1) in near
+    bench = spark.createDataFrame([(1, text(9, 30))], "item_id long, text string")
+    frame = spark.createDataFrame([(5, "a " + text(9, 30)), (6, text(8, 30)), (None, text(9, 30)), (None, text(7, 30))], "doc_id long, text string")
+    for limit in (0, 1000):
+        found = {(r.doc_id, r.item_id, r.equal) for r in decontaminate.overlaps(frame, bench, limit).collect()}
+        assert found == {(5, 1, 30), (None, 1, 30)}
+        assert sorted((r.text for r in decontaminate.clean(frame, bench, limit).collect())) == sorted([text(8, 30), text(7, 30)])
+
+
+def test_short_items_allow_their_share_of_substitutions(spark):
+    """Items of 1 to 20 words with every single word replaced, against the rule itself."""
+    rows, want, items = [], set(), []
+    for n in range(1, 21):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for i in range(-1, n):
+            doc_id = n * 100 + i + 1
+            rows.append((doc_id, " ".join(["pre", *[w if k != i else "other" for k, w in enumerate(item)], "post"])))
+            if i < 0 or n - 1 >= decontaminate.SIMILARITY * n:
+                want.add((doc_id, n))
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()} == want
+
+
+def brute_overlap(words, item):
+    """Whether any diagonal agrees in 0.8 of the item, or has a run of 13 words that agrees in 0.8."""
+    for shift in range(-len(item) + 1, len(words)):
+        same = [words[i + shift] == w for i, w in enumerate(item) if 0 <= i + shift < len(words)]
+        if sum(same) >= 0.8 * len(item):
+            return True
+        sums = np.r_[0, np.cumsum([5 * e - 4 for e in same])]
+        if any(sums[j] >= sums[i] for i in range(len(sums)) for j in range(i + 13, len(sums))):
+            return True
+    return False
+
+
+def test_contamination_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "ran sel tim von wup xar yel zin".split()]
+    items = [list(rng.choice(vocabulary, int(n))) for n in rng.integers(16, 60, 12)]
+    docs = []
+    for _ in range(120):
+        words = list(rng.choice(vocabulary, int(rng.integers(30, 120))))
+        item = items[int(rng.integers(12))]
+        at = int(rng.integers(0, len(item) - 10))
+        part = item[at : at + int(rng.integers(8, 60))]
+        part = [w if rng.random() > rng.choice([0, 0.1]) else str(rng.choice(vocabulary)) for w in part]
+        spot = int(rng.integers(len(words)))
+        docs.append(words[:spot] + part + words[spot:])
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {(i, k) for i, d in enumerate(docs) for k, t in enumerate(items) if brute_overlap(d, t)}
+    assert found <= want and len(want - found) <= len(want) // 50
 
 
 # --- lines ----------------------------------------------------------------------------------------------------------
