@@ -50,6 +50,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A folder of this machine's own is taken only where the master is local, as in tests.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    if not configured:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        configured = of_context.get() if of_context.isDefined() else None
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"file://{tempfile.gettempdir()}/checkpoints"
+    return configured.rstrip("/")
