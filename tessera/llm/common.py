@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.session import ship
+from tessera.plans.session import shared_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back, so that the lineage ends in replicated files.
 
@@ -42,6 +37,17 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy() -> None:
+    """Give back to the system the memory that a Python worker no longer uses: workers live on through later stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def salts(spark: SparkSession) -> int:
     """Into how many parts the rows of one key may be dealt: one per shuffle partition."""
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))

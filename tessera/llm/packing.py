@@ -33,7 +33,7 @@ SHARD = 12_000
 #: A bin with more room than this goes to the second round.
 ROOM = 8
 #: Chunks in each of the two generations of ids that a worker keeps.
-KEPT = 900_000
+KEPT = 400_000
 
 
 class Encoder(dict):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, salted_lookup, salts, table
+from tessera.llm.common import materialize, salted_lookup, salts, table, tidy
 from tessera.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -63,8 +63,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_udf(shingle: int):
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+        finally:
+            tidy()
 
     return of
 

@@ -3,14 +3,18 @@
 A word is the sum of two hashed embeddings, of the whole lower-cased word and of its first letters. Filters of several
 widths run over the words, each filter's maximum over the whole text is pooled (position-free, so a text's length is
 unbounded), and a logistic layer gives a probability. Training is mini-batch Adam on a sample of labelled rows, by
-default at most SAMPLE of them, the ones whose hashed doc_id is lowest; every other input bound is the whole text.
+default at most SAMPLE of them, toxic ones at most half, in either class the ones whose hashed doc_id is lowest; every
+other input bound is the whole text.
 
-Thresholds are calibrated by language. The language is told from the text alone (share of common function words);
-the best F1 threshold of each language on validation rows maps to 0.3 by a monotone rescaling of the probability, so
-that one cut serves all. Labels, lang, source and doc_id are never inputs of a score.
+Thresholds are calibrated by language. Every sampled row is scored by a model that did not learn it (two folds), rows
+count as often as their class does among all labelled rows, and the language is told from the text alone (share of
+common function words). The best F1 threshold of each language maps to 0.3 by a monotone rescaling of the
+probability, so that one cut serves all; a language with fewer than OWN toxic rows in the sample shares the threshold
+of all. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null or wordless text is scored like any other, with all filters at zero; repeated rows score alike;
-with no labelled rows of both classes every score is the prior; an empty table gives an empty result; extra columns
+with no labelled rows of both classes every score is the prior; of labelled doc_ids with several texts the lowest text is
+learnt, and a doc_id labelled both ways is toxic; an empty table gives an empty result; extra columns
 are carried by reject() and ignored by scores().
 """
 
@@ -20,19 +24,24 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, tidy
 
 #: Labelled rows that training reads at most.
 SAMPLE = 3000
+#: Toxic rows of the sample that a language needs for a threshold of its own.
+OWN = 15
 CUT = 0.3
 BUCKETS, PREFIXES, WIDTH = 1 << 15, 1 << 13, 12
 WIDTHS, FILTERS = (1, 2, 3), 12
+#: Letters of the second embedding of a word: with four, held-out labelled rows are told better than with five.
+PREFIX = 4
 EPOCHS, BATCH_WORDS = 6, 24_000
 SEED = 7
 #: A word's code is word bucket * _BASE + prefix bucket; the last row of either table is the padding word's.
@@ -56,14 +65,14 @@ for _i, _l in enumerate(FUNCTION_WORDS):
 class Hasher:
     """Words to codes of (word bucket, prefix bucket), and the text's language, keeping the codes of words met."""
 
-    KEPT = 400_000
+    KEPT = 150_000
 
     def __init__(self):
         self.kept: dict[str, int] = {}
 
     def code(self, word: str) -> int:
         crc = zlib.crc32
-        return crc(word.encode()) % BUCKETS * _BASE + crc(b"^" + word[:5].encode()) % PREFIXES
+        return crc(word.encode()) % BUCKETS * _BASE + crc(b"^" + word[:PREFIX].encode()) % PREFIXES
 
     def codes(self, text: str | None) -> tuple[np.ndarray, int]:
         words = _WORD.findall((text or "").lower())
@@ -184,13 +193,16 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     return p
 
 
-def _calibrate(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray) -> dict[int, float]:
-    """The F1-best threshold by language; a language with few positives shares the threshold of all."""
+def _calibrate(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray, clean: float = 1.0) -> dict[int, float]:
+    """The F1-best threshold by language; a language with few positives shares the threshold of all.
+
+    clean is how many rows a row of label 0 stands for, beside one of label 1.
+    """
 
     def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-s)
+        order = np.argsort(-s, kind="stable")
         s, y = s[order], y[order]
-        f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+        f1 = 2 * np.cumsum(y) / (np.cumsum(np.where(y == 1, 1.0, clean)) + y.sum())
         good = s[f1 >= f1.max() - 0.01]
         odds = np.log(good / (1 - good + 1e-9) + 1e-9)
         return float(np.clip(1 / (1 + np.exp(-(odds.min() + odds.max()) / 2)), 0.02, 0.98))
@@ -199,7 +211,7 @@ def _calibrate(scores: np.ndarray, labels: np.ndarray, languages: np.ndarray) ->
     out = {}
     for i in range(len(LANGUAGES)):
         own = languages == i
-        out[i] = best(scores[own], labels[own]) if labels[own].sum() >= 15 else whole
+        out[i] = best(scores[own], labels[own]) if labels[own].sum() >= OWN else whole
     return out
 
 
@@ -208,20 +220,27 @@ def _rescale(q: float, threshold: float) -> float:
     return q / threshold * CUT if q < threshold else CUT + (q - threshold) / (1 - threshold) * (1 - CUT)
 
 
-def fit(sample: list[tuple[str | None, int]], seed: int = SEED) -> dict:
-    """Model from (text, label) rows: parameters and thresholds. A fifth of the rows is held back to calibrate."""
+def fit(sample: list[tuple[str | None, int]], seed: int = SEED, clean: float = 1.0) -> dict:
+    """Model from (text, label) rows: parameters and thresholds. Each half is scored by a model of the other half."""
     hasher = Hasher()
     coded = [hasher.codes(text) for text, _ in sample]
     labels = np.array([y for _, y in sample], dtype=np.float64)
     if len(labels) < 10 or labels.min() == labels.max():
         return {"prior": float(labels.mean()) if len(labels) else 0.0}
-    back = np.random.default_rng(seed).random(len(labels)) < 0.2
-    kept = ~back if back.any() and 0 < labels[~back].sum() < (~back).sum() and labels[back].sum() else np.ones(len(labels), bool)
-    p = train([c for (c, _), k in zip(coded, kept) if k], labels[kept], seed=seed)
-    held = back if not kept.all() else kept
-    scores = np.array([_probability(p, c) for (c, _), k in zip(coded, held) if k])
-    languages = np.array([lang for (_, lang), k in zip(coded, held) if k])
-    return {"p": p, "thresholds": _calibrate(scores, labels[held], languages)}
+    codes, languages = [c for c, _ in coded], np.array([lang for _, lang in coded])
+    p = train(codes, labels, seed=seed)
+    fold = np.zeros(len(labels), dtype=int)
+    for i, y in enumerate((0, 1)):  # either class falls into halves
+        own = np.random.default_rng(seed + i).permutation(np.flatnonzero(labels == y))
+        fold[own[::2]] = 1
+    scores = np.empty(len(labels))
+    for f in (0, 1):
+        other = [i for i in range(len(labels)) if fold[i] != f]
+        both = 0 < labels[other].sum() < len(other)
+        of = train([codes[i] for i in other], labels[other], seed=seed) if both else p
+        for i in np.flatnonzero(fold == f):
+            scores[i] = _probability(of, codes[i])
+    return {"p": p, "thresholds": _calibrate(scores, labels, languages, clean)}
 
 
 def score_text(model: dict, text: str | None) -> float:
@@ -237,11 +256,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on a bounded sample: of the labelled rows that may be learnt, those with the lowest hashed ids."""
-    marked = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return fit([(r.text, int(r.toxic)) for r in sorted(rows.collect(), key=lambda r: r.doc_id)])
+    """Fit on a bounded sample of the labelled rows that may be learnt; both classes are counted over all of them."""
+    known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    marked = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+    of = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    first = lambda y, n: marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    toxic = min(of.get(1, 0), sample // 2)
+    clean = min(of.get(0, 0), sample - toxic)
+    chosen = first(1, toxic).unionByName(first(0, clean))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    share = (of.get(0, 0) / clean) / (of[1] / toxic) if clean and toxic else 1.0
+    return fit([(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: r.doc_id)], clean=share)
 
 
 def scores(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
@@ -249,9 +275,14 @@ def scores(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = pickle.loads(shared.value)
-        return pd.Series([score_text(own, t) for t in texts], dtype="float64")
+        try:
+            for texts in batches:
+                yield pd.Series([score_text(own, t) for t in texts], dtype="float64")
+        finally:
+            HASHER.kept.clear()
+            tidy()
 
     scored = docs.withColumn("score", score("text"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
