@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, table, tidy
 
 LENGTH = 4096
 END = 1
@@ -33,15 +34,20 @@ SHARD = 12_000
 #: A bin with more room than this goes to the second round.
 ROOM = 8
 #: Chunks in each of the two generations of ids that a worker keeps.
-KEPT = 400_000
+KEPT = 250_000
+#: Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter.
+_FOREIGN = re.compile("[\u0130\u0180-\U0010ffff]")
+#: The place before a last comma or stop of a chunk; the pre-tokeniser parts it from a letter or digit before it.
+_MARK = re.compile(r"(?<=[^\W_])(?=[,.](?:[ \n\t]|\Z))")
 
 
 class Encoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
     The normaliser turns white space into one blank and the pre-tokeniser never crosses it, so blank-separated chunks
-    encode alone as they do in the text. Each distinct chunk goes to the library once; the dict keeps what it gave,
-    in two generations of bounded size.
+    encode alone as they do in the text; so do lower-cased words and their last comma or stop, where the alphabet is
+    known to allow it. Each distinct chunk goes to the library once; the dict keeps what it gave, in two generations of
+    bounded size.
     """
 
     def __init__(self, path: str):
@@ -54,6 +60,8 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
 
     def encode(self, text: str) -> bytes:
+        if not _FOREIGN.search(text):
+            text = _MARK.sub(" ", text.lower())
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
     def __missing__(self, chunk: str) -> bytes:
@@ -62,28 +70,10 @@ class Encoder(dict):
             self.clear()
         ids = self.older.get(chunk)
         if ids is None:
-            word, mark = self.plain(chunk)
-            if mark or word != chunk:
-                ids = self[word] + (self[mark] if mark else b"")
-            else:
-                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[chunk] = ids
         return ids
 
-    @staticmethod
-    def plain(chunk: str) -> tuple[str, str]:
-        """Parts that encode alone as they do in the chunk: a lower-case word and a last comma or stop, or the chunk.
-
-        Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter; the pre-tokeniser
-        parts letters from punctuation.
-        """
-        if chunk and max(chunk) < "\u0180" and "\u0130" not in chunk:
-            if chunk.isalpha():
-                return chunk.lower(), ""
-            if chunk[-1] in ",." and chunk[:-1].isalpha():
-                return chunk[:-1].lower(), chunk[-1]
-        return chunk, ""
-
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -115,6 +105,7 @@ def _pieces(path: str, length: int, end: int):
                     rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), slot))
                 slot += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _PIECES)] if rows else [pa.array([], type=f.type) for f in _PIECES], schema=_PIECES)
+        tidy()
 
     return run
 
