@@ -1,14 +1,19 @@
-"""Line dedup by a log-template tree.
+"""Line dedup by a log-template tree of fixed depth.
 
-Every line is parsed to a fixed depth: its token count, then its leading tokens, tokens with a digit being variable
-from the start (<*>). Lines of one leaf that recur across documents form templates: at each position a token that
-enough documents share there is constant, every other is a variable field (a line of fewer than five tokens has no
-room for one). A template counts only where constants fill
-at least SIMILARITY of its positions. Lines whose template occurs in MIN_DOCS documents or more are dropped, wherever
-they stand; the rest of a document is joined again in order.
+Every line is parsed down the tree: its token count, then its leading tokens, tokens with a digit being variable from the
+start (<*>). A leaf whose lines agree well enough is a template. Whether a position is constant is decided within the
+node, at every corpus size alike: one token holds at least CONSTANT of the documents there; every other position is a
+variable field, and so is <*>. A node is a template where constants fill at least SIMILARITY of its positions; lines that
+agree with it in so many positions belong to it, the others of the node go on by themselves. A node that is no template
+is divided at the position with the fewest different tokens, up to DEPTH times. A line of fewer than five tokens has no
+room for a variable word, so it forms a template with lines equal to it after masking alone.
 
-Passes move hashes of lines, not texts; token rows are made only for lines of leaves that enough documents share. The texts
-shuffle once, to be put together again. Recurring line hashes are broadcast up to BROADCAST rows, else joined.
+Lines whose template occurs in MIN_DOCS documents or more are dropped, wherever they stand; the rest of a document is
+joined again in order.
+
+The texts are parsed once, into a written table; from then on hashes of lines move, and token hashes of the lines that
+share a leaf, one row for equal lines however many documents hold them. Only documents with a line to drop are put
+together again. Recurring line hashes are broadcast up to BROADCAST rows, else joined.
 
 Defined results: null text is one empty line; lines of white space alone are kept and never counted; a document all of
 whose lines are dropped has an empty text; null doc_ids count as one document; repeated rows come back once each and
@@ -18,6 +23,8 @@ internal names start with an underscore.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +33,38 @@ from tessera.llm.common import materialize, table
 MIN_DOCS = 3
 LEADING = 3
 SIMILARITY = 0.8
+CONSTANT = 0.9
+#: Levels below the leading tokens.
+DEPTH = 5
 #: Line hashes that are broadcast at most (about 40 MB).
 BROADCAST = 1_000_000
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line with blanks for all white space, trimmed, and tokens with a digit as a variable field; tokens are what
-    stands between single blanks."""
-    s = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
-    return F.when(s.rlike("[0-9]"), F.regexp_replace(s, "[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(s)
+def _masked(text: Column) -> Column:
+    """The text with blanks for all white space within lines and tokens with a digit as a variable field."""
+    blank = F.when(text.rlike("[\t\r\x0b\x0c]"), F.regexp_replace(text, "[\t\r\x0b\x0c]", " ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(blank, "[^ \n0-9]*+[0-9][^ \n]*", FIELD)).otherwise(blank)
+
+
+def _count(text: Column, character: str) -> Column:
+    """How often the one-byte character stands in the text."""
+    return F.octet_length(F.replace(text, F.lit(character), F.lit(character * 2))) - F.octet_length(text)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _hash: rows of one doc_id, null too, are told apart by their text."""
+    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, masked, line (hash of the masked line), leaf (token count and leading tokens), n (tokens)."""
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    masked = lines.select("doc_id", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
-    n = F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1
-    return masked.select("doc_id", "masked", F.xxhash64("masked").alias("line"), F.xxhash64(n, F.substring_index("masked", " ", LEADING)).alias("leaf"), n.alias("n"))
+    """doc_id, _hash, spot, masked (the trimmed masked line, tokens being what stands between single blanks), line (its
+    hash), n (tokens), leaf (token count and leading tokens)."""
+    texts = _keyed(docs).select("doc_id", "_hash", _masked(F.coalesce("text", F.lit(""))).alias("masked"))
+    lines = texts.select("doc_id", "_hash", F.posexplode(F.split("masked", "\n")).alias("spot", "masked"))
+    lines = lines.withColumn("masked", F.trim("masked")).filter("masked <> ''")
+    lines = lines.withColumn("n", _count(F.col("masked"), " ") + 1)
+    return lines.withColumn("line", F.xxhash64("masked")).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -51,43 +72,71 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """(line): hashes of masked lines whose template recurs in at least min_docs documents."""
-    parsed = _parsed(docs)
-    pairs = parsed.select("doc_id", "line", "leaf", "n").distinct()
+def _level(rest: DataFrame, similarity: float) -> DataFrame:
+    """rest (line, node, n, docs, tokens) with whole (the node is a template), own (the line belongs to it) and below
+    (the node that the line goes on to)."""
+    fields = rest.select("node", "n", "docs", F.posexplode("tokens").alias("spot", "token"))
+    seen = fields.groupBy("node", "n", "spot", "token").agg(F.sum("docs").alias("w"), F.count("*").alias("lines"))
+    spots = seen.groupBy("node", "n", "spot").agg(F.count("*").alias("different"), F.max(F.struct("w", "token")).alias("top"), F.sum("w").alias("w"), F.sum("lines").alias("lines"))
+    ruled = F.col("top.w") >= CONSTANT * F.col("w")
+    constant = F.when(ruled & F.col("top.token").isNotNull(), F.struct("spot", F.col("top.token").alias("token")))
+    nodes = spots.groupBy("node", "n").agg(F.collect_list(constant).alias("constants"), F.min(F.when(~ruled, F.struct("different", "spot"))).alias("cut"), F.max("lines").alias("lines"), F.max("w").alias("w"))
+    nodes = nodes.select("node", "constants", F.col("cut.spot").alias("cut"), "lines", "w", (F.size("constants") >= similarity * F.col("n")).alias("whole"))
+    met = rest.join(materialize(nodes), "node").filter("lines > 1")  # a node of one line is a template of equal lines alone
+    agree = F.size(F.filter("constants", lambda c: F.get("tokens", c["spot"]) == c["token"]))
+    met = met.withColumn("own", F.col("whole") & (agree >= similarity * F.col("n")))
+    return met.withColumn("below", F.when(F.col("whole"), F.xxhash64("node", F.lit("others"))).otherwise(F.xxhash64("node", "cut", F.get("tokens", F.col("cut")))))
+
+
+def _templates(lines: DataFrame, similarity: float) -> DataFrame | None:
+    """(line, template) of the lines (line, leaf, n, docs, tokens) that belong to a template of the tree."""
+    found, rest = [], lines.withColumnRenamed("leaf", "node")
+    for _ in range(DEPTH + 1):
+        met = materialize(_level(rest, similarity))
+        found.append(met.filter("own").select("line", F.col("node").alias("template")))
+        rest = met.filter("NOT own").select("line", F.col("below").alias("node"), "n", "docs", "tokens")
+        if rest.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _recurring(parsed: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    pairs = parsed.groupBy("line", "leaf", "n", "doc_id").agg(F.lit(1).alias("_one"))
     lines = materialize(pairs.groupBy("line", "leaf", "n").agg(F.count("*").alias("docs")))
     exact = lines.filter(F.col("docs") >= min_docs).select("line")
-    # a variable field leaves enough constants only in longer lines; leaves count where other lines share them
-    single = lines.filter((F.col("docs") < min_docs) & (F.col("n") - 1 >= similarity * F.col("n")))
-    shared = single.groupBy("leaf").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    open_lines = materialize(single.select("line", "leaf").join(shared, "leaf", "left_semi").select("line"))
-    some = parsed.join(_sized(open_lines), "line", "left_semi")
-    hashed = F.transform(F.split("masked", " "), lambda t: F.when(t != FIELD, F.xxhash64(t)))
-    some = materialize(some.select("doc_id", "leaf", "line", "n", hashed.alias("tokens")).dropDuplicates(["doc_id", "line"]))
-    fields = some.select("doc_id", "leaf", "line", "n", F.posexplode("tokens").alias("spot", "token")).filter(F.col("token").isNotNull())
-    constants = fields.groupBy("leaf", "spot", "token").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf", "spot", "token")
-    kept = fields.join(constants, ["leaf", "spot", "token"])
-    general = kept.groupBy("doc_id", "leaf", "line", "n").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("spot", "token").cast("decimal(38,0)")).alias("template"))
-    general = materialize(general.filter(F.col("constants") >= similarity * F.col("n")).select("doc_id", "leaf", "template", "line"))
-    wide = general.select("doc_id", "leaf", "template").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    found = general.join(wide.select("leaf", "template"), ["leaf", "template"], "left_semi").select("line")
-    return materialize(exact.unionByName(found).distinct())
+    roomy = lines.filter(F.col("n") - 1 >= similarity * F.col("n"))
+    shared = roomy.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("c")).filter((F.col("d") >= min_docs) & (F.col("c") > 1)).select("leaf")
+    open_lines = materialize(roomy.join(shared, "leaf", "left_semi"))
+    texts = parsed.select("line", "masked").join(_sized(open_lines.select("line")), "line", "left_semi").dropDuplicates(["line"])
+    tokens = F.transform(F.split("masked", " "), lambda t: F.when(t != FIELD, F.xxhash64(t)))
+    made = materialize(open_lines.join(texts, "line").select("line", "leaf", "n", "docs", tokens.alias("tokens")))
+    found = materialize(_templates(made, similarity))
+    held = parsed.select("doc_id", "line").join(_sized(found), "line")
+    wide = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    general = found.join(wide, "template", "left_semi").select("line")
+    return materialize(exact.unionByName(general).distinct())
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """(line): hashes of masked lines whose template recurs in at least min_docs documents."""
+    return _recurring(materialize(_parsed(docs.select("doc_id", "text"))), min_docs, similarity)
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with their text less the recurring lines, and n_lines and n_dropped."""
-    found = recurring(docs.select("doc_id", "text"), min_docs, similarity).withColumn("_dropped", F.lit(True))
-    rest = [c for c in docs.columns if c != "text"]
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest).alias("_rest"), F.coalesce("text", F.lit("")).alias("_whole"))
-    rows = numbered.select("_row", "_rest", F.posexplode(F.split("_whole", "\n")).alias("_spot", "_text"))
-    rows = rows.withColumn("_rest", F.when(F.col("_spot") == 0, F.col("_rest"))).withColumn("_masked", _masked(F.col("_text")))
-    keyed = rows.withColumn("line", F.when(F.col("_masked") != "", F.xxhash64("_masked"))).drop("_masked")
-    judged = keyed.join(_sized(found), "line", "left").withColumn("_dropped", F.coalesce("_dropped", F.lit(False)))
-    entry = F.struct(F.col("_spot").alias("spot"), F.when(~F.col("_dropped"), F.col("_text")).alias("text"))
-    whole = judged.groupBy("_row").agg(F.array_sort(F.collect_list(entry)).alias("_all"), F.first("_rest", ignorenulls=True).alias("_rest"))
-    left = F.filter("_all", lambda x: x["text"].isNotNull())
-    out = whole.select("_rest.*", F.array_join(F.transform(left, lambda x: x["text"]), "\n").alias("text"), F.size("_all").cast("long").alias("n_lines"), (F.size("_all") - F.size(left)).cast("long").alias("n_dropped"))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    parsed = materialize(_parsed(docs.select("doc_id", "text")))
+    found = _recurring(parsed, min_docs, similarity)
+    hits = parsed.select("doc_id", "_hash", "spot", "line").join(_sized(found), "line", "left_semi")
+    hits = hits.groupBy(F.col("doc_id").alias("_doc_id"), F.col("_hash").alias("_key")).agg(F.collect_set("spot").alias("_spots"))
+    hits = materialize(hits)
+    keyed = _keyed(docs)
+    met = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_doc_id"]) & (keyed["_hash"] == hits["_key"]), "left")
+    lines = F.split("text", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_spots")), lambda i: F.get(lines, i))
+    text = F.when(F.col("_spots").isNotNull(), F.array_join(left, "\n")).otherwise(F.coalesce("text", F.lit("")))
+    n_lines = (_count(F.coalesce("text", F.lit("")), "\n") + 1).cast("long")
+    rest = [text.alias("text") if c == "text" else keyed[c] for c in docs.columns]
+    return met.select(*rest, n_lines.alias("n_lines"), F.coalesce(F.size("_spots"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

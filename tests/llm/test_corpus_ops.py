@@ -493,6 +493,101 @@ def test_exact_lines_against_brute_force(spark, data):
         assert len(left) == len(own) - got[r.doc_id].n_dropped
 
 
+def texts_left(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text for r in line_dedup.drop_recurring(frame).collect()}
+
+
+def test_recurring_lines_take_their_template_along(spark):
+    """One wording in three documents, two others once each: the template stands in five."""
+    form = "A user did {} logging in from the main gate today"
+    rows = [(i, form.format(w)) for i, w in enumerate(["slow", "slow", "slow", "quick", "late"])] + [(9, "quite another line of words that nobody else wrote down")]
+    left = texts_left(spark, rows)
+    assert [left[i] for i in range(5)] == [""] * 5 and left[9]
+
+
+@pytest.mark.parametrize("noise", [0, 60, 600])
+def test_two_variable_words_in_a_growing_leaf(spark, noise):
+    """Ten names times ten cities in one sentence, every value in ten documents, beside prose of the same leaf."""
+    form = "The old member {} of our forum moved to {} in the last cold winter"
+    n = len(form.split())
+    rng = np.random.default_rng(6)
+    rows = [(i, form.format(f"name{chr(97 + i % 10)}", f"city{chr(97 + i // 10)}")) for i in range(100)]
+    vocabulary = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "ran sel tim von wup xar yel zin".split()]
+    prose = {200 + i: "The old member " + " ".join(rng.choice(vocabulary, n - 3)) for i in range(noise)}
+    left = texts_left(spark, rows + list(prose.items()))
+    assert [left[i] for i in range(100)] == [""] * 100
+    assert all(left[i] == t for i, t in prose.items())
+
+
+def brute_templates(lines, level=0):
+    """The tree over {line: documents}, node by node: sets of lines that form a template."""
+    if len(lines) < 2:
+        return []
+    split = {x: x.split(" ") for x in lines}
+    n, total = len(next(iter(split.values()))), sum(lines.values())
+    constants, cuts = {}, []
+    for p in range(n):
+        seen = Counter()
+        for x, docs in lines.items():
+            seen[split[x][p]] += docs
+        token, w = seen.most_common(1)[0]
+        if w < 0.9 * total:
+            cuts.append((len(seen), p))
+        elif token != "<*>":
+            constants[p] = token
+    out, below = [], {}
+    whole = len(constants) >= 0.8 * n
+    own = {x for x in lines if whole and sum(split[x][p] == t for p, t in constants.items()) >= 0.8 * n}
+    if own:
+        out.append(own)
+    for x in set(lines) - own:
+        below.setdefault("" if whole else split[x][min(cuts)[1]], {})[x] = lines[x]
+    if level < line_dedup.DEPTH:
+        for part in below.values():
+            out += brute_templates(part, level + 1)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [a + b for a in "ba ce di fo".split() for b in "ran sel tim".split()]
+    forms = []
+    for k in range(12):
+        n = int(rng.integers(4, 16))
+        form = ["We", "said", "that", *rng.choice(vocabulary, n - 3)] if k % 2 else list(rng.choice(vocabulary, n))
+        forms.append((form, rng.choice(n, int(rng.integers(0, 3)), replace=False)))
+    docs = {}
+    for i in range(160):
+        lines = []
+        for _ in range(4):
+            form, spots = forms[int(rng.integers(12))]
+            line = list(form)
+            for s in spots:
+                line[s] = str(rng.choice(vocabulary)) if rng.random() < 0.7 else f"{rng.integers(99)}x"
+            if rng.random() < 0.3:
+                line = list(rng.choice(vocabulary, len(line)))
+            lines.append(" ".join(line))
+        docs[i] = lines
+    masked = lambda x: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", x)
+    held = {}
+    for i, lines in docs.items():
+        for x in lines:
+            held.setdefault(masked(x), set()).add(i)
+    drop = {x for x, ids in held.items() if len(ids) >= 3}
+    leaves = {}
+    for x, ids in held.items():
+        words = x.split(" ")
+        if len(words) - 1 >= 0.8 * len(words):
+            leaves.setdefault((len(words), *words[:3]), {})[x] = len(ids)
+    for lines in leaves.values():
+        for own in brute_templates(lines) if sum(lines.values()) >= 3 else []:
+            if len(set().union(*[held[x] for x in own])) >= 3:
+                drop |= own
+    left = texts_left(spark, [(i, "\n".join(lines)) for i, lines in docs.items()])
+    assert {i: "\n".join(x for x in lines if masked(x) not in drop) for i, lines in docs.items()} == left
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 
 
