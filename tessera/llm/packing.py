@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ SHARD = 12_000
 #: A bin with more room than this goes to the second round.
 ROOM = 8
 #: Chunks in each of the two generations of ids that a worker keeps.
-KEPT = 250_000
+KEPT = 350_000
 #: Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter.
 _FOREIGN = re.compile("[\u0130\u0180-\U0010ffff]")
 #: The place before a last comma or stop of a chunk; the pre-tokeniser parts it from a letter or digit before it.
@@ -70,7 +71,7 @@ class Encoder(dict):
             self.clear()
         ids = self.older.get(chunk)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = struct.pack(f"<{len(found := self.tokenizer.encode(chunk, add_special_tokens=False).ids)}I", *found)
         self[chunk] = ids
         return ids
 
