@@ -606,7 +606,7 @@ def test_pii(spark, docs, empty):
         (3, None), (4, "nothing 12 at all"), (5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" господин Иван Петров'), (2, "4111-1111-1111-1111"), (None, "10.2.33.4"),
     ]
     frame = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, kind string, value string")
-    got = pii.pseudonymise(frame)
+    got = pii.pseudonymise(frame, "k")
     assert got.columns == [*frame.columns, "n_replaced"]
     told = sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     one, card, two, none, four, five, ip = [t for _, t in told]
@@ -623,13 +623,56 @@ def test_pii(spark, docs, empty):
     assert re.search(r"\+1? ?\+?\d \(\d{3}\) \d{3}-\d{4}", two.replace("Call ", "")) and "473696257" not in two
     assert re.search(r'token = "[0-9a-f]{40}"', five) and "04dbebab" not in five
     assert re.search(r"господин (\S+)", five)[1] in pii.NAMES["man", "cyrillic"]
-    assert pii.pseudonymise(docs).count() == docs.count() and pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(docs, "k").count() == docs.count() and pii.pseudonymise(empty, "k").count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     """A format with few values forces collisions: two letters and a digit, most of the values in use."""
     values = [f"{a}{b}.{d}@example.com" for a in "abcdefghij" for b in "abcdefghij" for d in range(3)]
     entities = spark.createDataFrame([("mail", v) for v in values], "kind string, value string")
-    got = pii.surrogates(entities).collect()
+    got = pii.surrogates(entities, "k").collect()
     assert len(got) == len({r.surrogate for r in got}) == len(values)
     assert not {r.surrogate for r in got} & set(values)
+
+
+def test_full_formats_widen(spark):
+    """All 26 one-letter addresses, and more one-word surnames than there are short surrogates."""
+    mails = [("mail", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    names = [("man", f"Name{i:05d}".translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(20_000)]
+    got = pii.surrogates(spark.createDataFrame(mails + names, "kind string, value string"), "k").collect()
+    drawn = {r.surrogate for r in got}
+    assert len(got) == len(drawn) == 26 + 20_000 and not drawn & {v for _, v in mails + names}
+    assert all(re.fullmatch(r"[a-z]{2,}@example\.com", r.surrogate) for r in got if r.kind == "mail")
+
+
+def test_surrogates_differ_across_kinds_and_keys(spark):
+    """A number, a phone and a card are told apart by their digits alone; another key draws other surrogates."""
+    entities = spark.createDataFrame([("number", "123456789"), ("phone", "123456780"), ("card", "4111111111111")], "kind string, value string")
+    one, two = ({r.value: r.surrogate for r in pii.surrogates(entities, k).collect()} for k in "ab")
+    assert len(set(one.values())) == 3 and not set(one.values()) & set(one) and one != two
+
+
+def test_coreference_against_the_texts(spark, data):
+    """Over the whole table: one surrogate an entity, no two entities with one surrogate, everything else untouched."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    import regex
+
+    pattern = regex.compile(pii.PATTERN.replace("p{IsCyrillic}", "p{Cyrillic}"))
+    to, back = {}, {}
+    n = 0
+    for r in docs.collect():
+        at, text = 0, new[r.doc_id]
+        for m in pattern.finditer(r.text):
+            gap = r.text[at : m.start()]
+            assert text.startswith(gap)
+            text, at = text[len(gap) :], m.end()
+            found = pattern.match(text)
+            assert found, (m[0], text[:60])
+            to.setdefault(m[0], set()).add(found[0])
+            text, n = text[found.end() :], n + 1
+        assert text == r.text[at:]
+    assert n > 20 and all(len(v) == 1 for v in to.values())
+    for mention, (surrogate,) in to.items():
+        back.setdefault(surrogate.lower(), set()).add(re.sub(r"[ -]", "", mention.lower()))
+    assert all(len(v) == 1 for v in back.values())
