@@ -2,12 +2,15 @@
 
 The whole page is scanned once into text blocks. Pass 1 decides each block on its own: what stands in a menu, header,
 footer, sidebar, notice, advert, form or reader comment is boilerplate; of the rest, link density, length and stop-word
-density make it good, bad, near-good or short. Pass 2 gives ambiguous blocks the label of their nearest decided
-neighbours; inside an article element only neighbours of that article count, and where none is decided the article's
-blocks are good. Where a whole page has no good block, its undecided blocks are good.
+density make it good, bad, near-good or short. An article or main element is evidence and no verdict: in one, running
+text is good at a smaller length, a block without stop words is near-good instead of bad (it may be a table, code, or a
+language without a list), and a block of links is bad only in a row of such blocks (a list of links) and short alone.
+Pass 2 gives ambiguous blocks the label of their nearest decided neighbours; in an article only neighbours of that
+article count, both sides must be bad to make a block bad, and where none is decided the article's blocks are good.
+Where a whole page has no good block, its undecided blocks are good.
 
 Defined results: null html is empty; a page without main text gives an empty string; unclosed and stray tags are
-tolerated; character references are decoded; white space inside a block is one space; repeated rows come back once
+tolerated (an unclosed script or style hides the rest of the page, as in browsers; no other element does); character references are decoded; white space inside a block is one space; repeated rows come back once
 each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -25,7 +28,7 @@ from tessera.llm.common import table
 
 #: Blocks from this many characters on can be decided alone.
 SHORT, LONG = 70, 200
-LINKS_BAD = 0.35
+LINKS_BAD, LINKS_ALONE = 0.35, 0.8
 STOP_LOW, STOP_HIGH = 0.12, 0.22
 
 STOP_WORDS = frozenset(
@@ -36,7 +39,7 @@ STOP_WORDS = frozenset(
         "el los las y en por con para no del al lo su una como más pero sus este esta o son fue ha si"
     ).split()
 )
-_SKIPPED = frozenset("script style noscript template head title svg math iframe object select option datalist textarea button canvas audio video map".split())
+_SKIPPED = frozenset("script style noscript template head title svg iframe object select option datalist textarea button canvas audio video map".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 _BLOCKS = frozenset(
@@ -127,7 +130,7 @@ def blocks(page: str) -> list[Block]:
             continue
         elif tag in _RAW and not closing:
             close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else end if tag in ("script", "style") else at
         elif tag == "p":
             links = 0
         elif tag in _BLOCKS or tag in _SKIPPED:
@@ -150,26 +153,30 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _alone(b: Block, in_list: bool) -> str:
+    """Pass 1: good, bad, near or short, from what the block itself shows."""
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    links, n = b.linked / len(b.text), len(b.text)
+    if b.bad or in_list or (links > LINKS_BAD and not b.article):
+        return "bad"
+    if links > LINKS_ALONE:
+        return "short"
+    if n < SHORT:
+        return "bad" if b.linked and not b.article else "short"
+    if stops >= STOP_HIGH and links <= LINKS_BAD:
+        return "good" if n >= LONG or b.article else "near"
+    return "near" if stops >= STOP_LOW or b.article else "bad"
+
+
 def classify(found: list[Block]) -> None:
     """Label every block good or bad."""
-    for b in found:
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        links = b.linked / len(b.text)
-        if b.bad or (links > LINKS_BAD and not b.article) or "©" in b.text[:40]:
-            b.label = "bad"
-        elif b.article and links > 0.8 and len(b.text) < LONG:
-            b.label = "short"
-        elif len(b.text) < SHORT:
-            b.label = "bad" if b.linked and not b.article else "short"
-        elif stops >= STOP_HIGH:
-            b.label = "good" if len(b.text) >= LONG or b.article else "near"
-        elif stops >= STOP_LOW:
-            b.label = "near"
-        else:
-            b.label = "near" if b.article else "bad"
-    decided = [b.label if b.label in ("good", "bad") else "" for b in found]
+    linked = [b.linked > LINKS_ALONE * len(b.text) and not b.heading for b in found]
     n = len(found)
+    for i, b in enumerate(found):
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < n and linked[j] and found[j].article == b.article]
+        b.label = _alone(b, linked[i] and bool(beside))
+    decided = [b.label if b.label in ("good", "bad") else "" for b in found]
 
     def nearest(i: int, step: int) -> str:
         j = i + step

@@ -317,6 +317,17 @@ LONG = "it was the house of the king and all that was in it for the people of th
         (f"<div class='page has-sidebar'><article><p>{LONG * 3}</p></article><div class='sidebar'><p>{LONG * 3}</p></div></div>", (LONG * 3).strip()),
         (f"<main><p>{LONG * 3}</p></main><section class='comments'><article><p>{LONG * 3}</p></article></section>", (LONG * 3).strip()),
         ("<article><p>un<b>bro</b>ken&nbsp; \n word</p></article>", "unbroken word"),
+        # block rules alone, no element or name that tells: running text is good, link and word lists are bad, short blocks inherit
+        (f"<div><a href=1>One of the pages</a> <a href=2>Two of the pages</a></div><div>Title of it</div><div>{LONG * 4}</div><div>Note.</div><div>{LONG * 3}</div><div><a href=3>{LONG}</a></div>", f"Title of it {(LONG * 4).strip()} Note. {(LONG * 3).strip()}".replace("Title of it ", "")),
+        (f"<div>{LONG * 4}</div><div>{'Widget Gadget Trinket ' * 12}</div><div>Imprint</div><div>{'Price Stock Order ' * 14}</div>", (LONG * 4).strip()),
+        (f"<div>{LONG * 4}</div><div>{LONG[:75]}</div><div>{LONG * 4}</div>", f"{(LONG * 4).strip()} {LONG[:75].strip()} {(LONG * 4).strip()}"),
+        # in an article: a list of links goes, a link alone and a block without stop words stay
+        (f"<article><p>{LONG * 2}</p><ul><li><a href=1>First other page</a></li><li><a href=2>Second other page</a></li></ul><p>{LONG * 2}</p></article>", f"{(LONG * 2).strip()} {(LONG * 2).strip()}"),
+        (f"<article><p>{LONG * 2}</p><p><a href=1>Source</a></p><pre>{'x1 = y2; ' * 30}</pre></article>", f"{(LONG * 2).strip()} Source {('x1 = y2; ' * 30).strip()}"),
+        (f"<article><p>{LONG * 2}</p><div class=notice>{LONG * 2}</div><p>© of the house and all that was in it.</p></article>", f"{(LONG * 2).strip()} © of the house and all that was in it."),
+        ("<article><p>Просто длинный текст на другом языке. " + "слово " * 60 + "</p><p>Да.</p></article>", "Просто длинный текст на другом языке. " + ("слово " * 60).strip() + " Да."),
+        (f"<title>x</title><noscript><article><p>{LONG * 2}</p><math><mi>a</mi></math></article>", f"{(LONG * 2).strip()} a"),
+        (f"<textarea><article><p>{LONG}</p></article>", LONG.strip()),
     ],
 )
 def test_html(page, want):
@@ -328,6 +339,19 @@ def test_html_of_frames(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(rows).collect()) == [(1, "", 0), (2, "é", 1), (2, "é", 1)]
 
 
+def test_html_rules_decide(monkeypatch):
+    """The stop-word and link rules carry the result where nothing else tells."""
+    page = f"<div>{LONG * 4}</div><div>{'Widget Gadget Trinket ' * 12}</div>"
+    assert html_extract.main_text(page) == (LONG * 4).strip()
+    monkeypatch.setattr(html_extract, "STOP_LOW", 0.0)
+    assert html_extract.main_text(page) != (LONG * 4).strip()
+
+
+def test_html_of_nothing_and_of_a_long_page(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert html_extract.main_text(f"<article>{f'<p>{LONG}</p>' * 20_000}</article>") == " ".join([LONG.strip()] * 20_000)
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------
 
 
