@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, salts, table
 
 MIN_DOCS = 3
 LEADING = 3
@@ -112,7 +112,9 @@ def _recurring(parsed: DataFrame, min_docs: int, similarity: float) -> DataFrame
     made = materialize(open_lines.join(texts, "line").select("line", "leaf", "n", "docs", tokens.alias("tokens")))
     found = materialize(_templates(made, similarity))
     held = parsed.select("doc_id", "line").join(_sized(found), "line")
-    wide = held.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(salts(parsed.sparkSession)))  # a template's documents fall to many tasks
+    counted = held.groupBy("template", part.alias("part"), "doc_id").agg(F.lit(1).alias("_one")).groupBy("template", "part").agg(F.count("*").alias("docs"))
+    wide = counted.groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     general = found.join(wide, "template", "left_semi").select("line")
     return materialize(exact.unionByName(general).distinct())
 

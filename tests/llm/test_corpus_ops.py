@@ -262,6 +262,14 @@ def test_local_search_leaves_no_trade():
                 assert not ((gain > 0) & (gain <= 4096 - fill)).any()
 
 
+def test_local_search_saves_sequences_on_a_large_shard():
+    """Sizes on which best fit alone leaves bins a third empty."""
+    sizes = np.random.default_rng(2).integers(900, 1401, 2500).tolist()
+    before = packing.best_fit(sizes, 4096)
+    after = packing.improve([list(b) for b in before], sizes, 4096)
+    assert sorted(i for b in after for i in b) == list(range(2500)) and len(after) <= 0.98 * len(before)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
@@ -282,6 +290,22 @@ def test_toxicity_learns_and_generalises(spark):
     assert got[2].predicted == 1
 
 
+def test_each_language_gets_its_own_threshold():
+    """A small language has one in ten of the toxic rows; its scores lie lower, and its threshold with them."""
+    rng = np.random.default_rng(3)
+    sample = []
+    for i in range(600):
+        function = "the and of" if i % 6 else "der und die"
+        words = list(rng.choice(WORDS, 40)) + function.split() * 3
+        if i % 4 == 0:
+            words.insert(int(rng.integers(40)), "vile" if i % 6 else "garstig")
+        sample.append((" ".join(words), int(i % 4 == 0)))
+    model = toxicity.fit(sample)
+    own = [model["thresholds"][toxicity.LANGUAGES.index(k)] for k in ("en", "de", "fr")]
+    assert own[0] != own[1] and own[2] not in own[:2]
+    assert np.mean([(toxicity.score_text(model, t) >= toxicity.CUT) == bool(y) for t, y in sample]) > 0.97
+
+
 def test_language_is_told_from_all_words():
     words = ["zzz", "the"] * 400 + ["und", "zzz"]  # every second word shows one German word alone
     assert toxicity.Hasher().codes(" ".join(words))[1] == toxicity.LANGUAGES.index("en")
