@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, though f names it often: written out each time it would multiply."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
 
@@ -39,9 +45,7 @@ def _part(c: Column, pattern: str, group: int) -> Column:
 MONTHS = "january february march april may june july august september october november december".split()
 
 
-def iso_date(c: Column) -> Column:
-    """The first layout that gives a calendar day, else m/d/yyyy inside the text by range only, else lower case."""
-    s = strip(c)
+def _iso(s: Column) -> Column:
     mdy, ymd, short = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", r"^(\d{4})([/-])(\d{1,2})\2(\d{1,2})$", r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
     named = r"(?i)^([a-z]{3,9}) (\d{1,2}), (\d{4})$"
     word = F.lower(F.regexp_extract(s, named, 1))
@@ -61,6 +65,11 @@ def iso_date(c: Column) -> Column:
     )
 
 
+def iso_date(c: Column) -> Column:
+    """The first layout that gives a calendar day, else m/d/yyyy inside the text by range only, else lower case."""
+    return let(strip(c), _iso)
+
+
 def amount(c: Column) -> Column:
     """Digits and the point; an all-zero fraction goes."""
     digits = F.regexp_replace(strip(c), r"[^0-9.]", "")
@@ -83,14 +92,17 @@ def _email(c: Column) -> Column:
 
 def comparable(value: Column, field: Column, is_checkbox: Column | None = None) -> Column:
     """the comparable form of a value, by what its field's name says; null is empty."""
-    s, name = strip(value), F.lower(field)
+    return F.coalesce(let(strip(value), lambda s: _comparable(s, F.lower(field), is_checkbox)), F.lit(""))
+
+
+def _comparable(s: Column, name: Column, is_checkbox: Column | None) -> Column:
     low = F.lower(s)
     words = TRUE_WORDS + FALSE_WORDS
     checkbox = name.contains("indicator") | name.startswith("chk") | (name.contains("code") & low.isin(words) & ~contains_any(name, NON_CHECKBOX_CODES))
     if is_checkbox is not None:
         checkbox = checkbox | is_checkbox
     digits = F.regexp_replace(s, r"[^0-9]", "")
-    return F.coalesce(
+    return (
         F.when(checkbox, F.when(low.isin(TRUE_WORDS), "true").when(low.isin(FALSE_WORDS), "false").otherwise(low))
         .when(name.contains("date") & ~name.contains("update"), iso_date(s))
         .when(name.contains("effectivetime") | name.contains("expirationtime"), F.when(digits.rlike("^[0-9]{1,4}$"), F.lpad(digits, 4, "0")).otherwise(low))
@@ -98,8 +110,7 @@ def comparable(value: Column, field: Column, is_checkbox: Column | None = None)
         .when((name.contains("area") | name.contains("count")) & s.rlike(r"^[0-9,.\s]+$"), amount(s))
         .when(name.contains("email") & s.contains("@"), _email(s))
         .when(contains_any(name, "address lineone linetwo cityname".split()), expand_address(s))
-        .otherwise(low),
-        F.lit(""),
+        .otherwise(low)
     )
 
 
