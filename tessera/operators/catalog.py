@@ -135,7 +135,7 @@ RECORD = "business struct<name: string, address: string>, drivers array<struct<f
 def parse_record(json: Column) -> Column:
     """The record of a JSON text: missing lists are empty, first and last names fall back to parts of the full name."""
     record = F.from_json(json, RECORD)
-    part = lambda d, i: F.when(F.size(F.split(d["full_name"], r"\s+")) >= 2, F.element_at(F.split(d["full_name"], r"\s+"), i))
+    words = lambda d: F.filter(F.split(d["full_name"], r"\s+"), lambda w: w != "")
     drivers = F.transform(F.coalesce(record["drivers"], F.from_json(F.lit("[]"), "array<struct<full_name: string, first_name: string, last_name: string>>")), lambda d: F.struct(
-        d["full_name"].alias("full_name"), F.coalesce(d["first_name"], part(d, 1)).alias("first_name"), F.coalesce(d["last_name"], part(d, -1)).alias("last_name")))
+        d["full_name"].alias("full_name"), F.coalesce(d["first_name"], F.get(words(d), F.lit(0))).alias("first_name"), F.coalesce(d["last_name"], F.when(F.size(words(d)) > 1, F.get(words(d), F.size(words(d)) - 1))).alias("last_name")))
     return F.struct(record["business"]["name"].alias("name"), record["business"]["address"].alias("line_one"), drivers.alias("drivers"))

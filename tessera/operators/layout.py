@@ -156,7 +156,7 @@ def positional(blocks: DataFrame, fields: DataFrame, anchors: DataFrame) -> Data
     )
     joined = F.array_join(F.transform("_held", lambda h: h["text"]), " ")
     lap = F.when((F.col("_lap") != "") & ~looks_like_label(F.col("_lap")), F.col("_lap"))
-    value = F.when(box, F.when("_mark", "1")).when(joined != "", joined).otherwise(lap)
+    value = F.when(box, F.when(F.col("_mark"), "1")).when(joined != "", joined).otherwise(lap)
     method = F.when(box, "positional_checkbox").when(joined != "", "positional_containment").otherwise("positional_iou")
     bonus = F.when(method == "positional_containment", CONTAINED).otherwise(0.0)
     told = seen.withColumn("value", value).withColumn("method", method).filter(F.col("value").isNotNull() & (box | ~invalid_for(F.col("field"), F.col("value"))))
@@ -214,7 +214,7 @@ def kept_by_consensus(confidence: Column) -> Column:
 def effective_confidence(ensemble: Column, source: Column, bbox: Column) -> Column:
     """The ensemble's, at most 0.80 where the text bears out less than 0.7; without one the source's, scaled."""
     b = F.coalesce(bbox, F.lit(0.5))
-    return F.round(F.coalesce(F.when(b < 0.7, F.least(ensemble, F.lit(0.80))).otherwise(ensemble), source * (0.5 + 0.5 * b)), 3)
+    return F.round(F.coalesce(F.when(b < 0.7, F.when(ensemble > 0.80, 0.80).otherwise(ensemble)).otherwise(ensemble), source * (0.5 + 0.5 * b)), 3)
 
 
 def scaled(df: DataFrame, columns: list[str], ratio: float, dx: float = 0.0, dy: float = 0.0) -> DataFrame:

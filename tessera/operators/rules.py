@@ -114,4 +114,4 @@ def gaps(rows: DataFrame, issues: DataFrame, wanted: DataFrame) -> DataFrame:
     wrong = issues.filter("severity = 'error'").select("doc", "field").distinct().withColumn("_wrong", F.lit(True))
     every = docs.join(F.broadcast(wanted.select("field")))
     told = every.join(held, ["doc", "field"], "left").join(wrong, ["doc", "field"], "left")
-    return told.select("doc", "field", F.when(F.col("_held").isNull(), "missing").when("_wrong", "invalid").otherwise("ok").alias("status"))
+    return told.select("doc", "field", F.when(F.col("_held").isNull(), "missing").when(F.col("_wrong"), "invalid").otherwise("ok").alias("status"))

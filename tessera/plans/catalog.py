@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import dialogue, intake, matching, quoting, record_views, scoring, spatial_views, text_views, value_views
+from tessera.plans import dialogue, form_views, intake, matching, quoting, record_views, scoring, spatial_views, text_views, value_views
 from tessera.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "fuse_candidates"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dialogue", "intake", "matching", "quoting", "record_views", "scoring", "spatial_views", "text_views", "value_views"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "dialogue", "form_views", "intake", "matching", "quoting", "record_views", "scoring", "spatial_views", "text_views", "value_views"]
