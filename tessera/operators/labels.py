@@ -36,20 +36,54 @@ def value_score(a: Column, b: Column) -> Column:
     )
 
 
+def match_candidates(left: DataFrame, right: DataFrame, group: str, q: int = 3) -> DataFrame:
+    """Pairs of left (group, id, text) and right, in a group, that value_score may score over 0: group, left_id,
+    right_id, left_text, right_text. No pair that scores is left out, and texts that share only what all share never meet.
+
+    Equal texts and equal digits meet by equality. A text contained in another has all its runs of q characters in it,
+    and of texts within k edits one holds all but q * k of the other's runs, so both meet by one of a text's rarest runs:
+    the rarest of all (containment), the q * k + 1 rarest (edits). Runs are told apart by their number in the text and
+    ranked by how many texts have them. Texts too short for runs meet by their characters.
+    """
+    sides = left.select(group, "id", "text", F.lit(0).alias("side")).unionByName(right.select(group, "id", "text", F.lit(1).alias("side")))
+    sides = sides.filter("text IS NOT NULL").withColumn("x", F.lower(F.trim("text")))
+    n = F.char_length("x")
+    texts = sides.select("x").distinct()
+    size = F.when(n >= 2 * q, q).otherwise(1)  # a half of a shorter text may be shorter than a run
+    runs = lambda width: F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.concat(width.cast("string"), F.lit("|"), F.substr("x", i, width)))
+    every = texts.filter("x <> ''").select("x", F.explode(F.when(size == q, F.concat(runs(F.lit(q)), runs(F.lit(1)))).otherwise(runs(F.lit(1)))).alias("run"))
+    counted = every.groupBy("x", "run").agg(F.count("*").alias("times")).select("x", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "run")
+    common = counted.groupBy("run", "nth").agg(F.count("*").alias("texts"))
+    ranked = counted.join(common, ["run", "nth"])
+    edits = F.floor(F.char_length("x") * (0.15 / 0.85))
+    long_run = F.col("run").startswith(f"{q}|")
+    kept = ranked.groupBy("x").agg(F.array_sort(F.collect_list(F.when(long_run, F.struct("texts", "run", "nth")))).alias("long"), F.array_sort(F.collect_list(F.when(~long_run, F.struct("texts", "run", "nth")))).alias("short"))
+    # what a text is looked up by, and all that it can be found by
+    keys = kept.select("x", F.explode(F.concat(F.slice("long", 1, (q * edits + 1).cast("int")), F.when(F.size("long") <= q * edits, F.slice("short", 1, (edits + 1).cast("int"))).otherwise(F.slice("short", 1, F.when(F.char_length("x") < 2 * q, 1).otherwise(0))))).alias("k")).select("x", "k.run", "k.nth")
+    meets = lambda a, b: a.join(b.withColumnRenamed("x", "y"), ["run", "nth"]).select("x", "y").distinct()
+    near = meets(keys, counted.select("x", "run", "nth"))
+    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    digits = texts.withColumn("d", F.regexp_replace("x", "[^0-9]", "")).filter("char_length(d) >= 3")
+    both = both.unionByName(digits.join(digits.withColumnRenamed("x", "y"), "d").select("x", "y")).distinct()
+    a = sides.filter("side = 0").select(group, F.col("id").alias("left_id"), F.col("text").alias("left_text"), "x")
+    b = sides.filter("side = 1").select(group, F.col("id").alias("right_id"), F.col("text").alias("right_text"), F.col("x").alias("y"))
+    return a.join(both, "x").join(b, [group, "y"]).select(group, "left_id", "right_id", "left_text", "right_text")
+
+
 def assign_one_to_one(candidates: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
     """By group, the best remaining pair first; each side is used once. Order-dependent, so one group is walked
     in one task: groups are documents or pages, of bounded size."""
     fields = candidates.select(group, left, right, score)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
         used_left, used_right, keep = set(), set(), []
-        for row in pdf.sort_values([score, left, right], ascending=[False, True, True], kind="stable").itertuples():
-            a, b = getattr(row, left), getattr(row, right)
+        for i, (a, b) in enumerate(zip(pdf[left].to_numpy(), pdf[right].to_numpy())):
             if a not in used_left and b not in used_right:
                 used_left.add(a)
                 used_right.add(b)
-                keep.append(row.Index)
-        return pdf.loc[keep]
+                keep.append(i)
+        return pdf.iloc[keep]
 
     return fields.groupBy(group).applyInPandas(walk, fields.schema)
 

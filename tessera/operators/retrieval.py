@@ -2,43 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: A query set of at most so many vectors is broadcast; a larger one is met in blocks of this size.
+QUERY_BLOCK = 20_000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _scores(matrix: np.ndarray, ids: np.ndarray, k: int, least: float | None):
+    """Over batches of items: each query's k best of the partition, ties by item id."""
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True], kind="stable")
+        return found[found.groupby("query_id").cumcount() < k]
 
-#: A query set of at most so many vectors is broadcast; a larger one is met in blocks of this size.
-QUERY_BLOCK = 20_000
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"query_id": ids[:0], "item_id": np.empty(0, np.int64), "score": np.empty(0)})
+        for batch in batches:
+            items = np.array(batch["vector"].tolist(), dtype=np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.round((items / np.linalg.norm(items, axis=1, keepdims=True)) @ unit.T, 6)
+            s = np.where(np.isfinite(s), s, -np.inf)
+            floor = np.partition(s, -k, axis=0)[-k] if len(s) > k else np.full(s.shape[1], -np.inf)  # ties at the floor stay
+            good = (s >= floor) & (s > -np.inf) & (True if least is None else s >= least)
+            item, query = np.nonzero(good)
+            kept = best(pd.concat([kept, pd.DataFrame({"query_id": ids[query], "item_id": batch["item_id"].to_numpy()[item], "score": s[item, query]})]))
+        yield kept
+
+    return run
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """Queries (query_id, vector) against items (item_id, vector): the k of highest cosine, ties by id.
 
-    A stated query set meets all items: queries are gathered into blocks that are broadcast, items stream past them.
-    Candidates are cut to k within each partition's (query, part) group before the final ranking of k rows a part, so
-    what shuffles last is parts times k rows a query.
+    A stated query set meets all items: queries are gathered into blocks of at most QUERY_BLOCK, each broadcast as one
+    matrix, and items stream past it a batch at a time as one matrix product. A task keeps k rows a query, so what
+    shuffles is tasks times k rows a query. Null vectors and those of length zero match nothing.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = queries.select("query_id", unit(F.col("vector")).alias("_q"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    near_items = items.select("item_id", unit(F.col("vector")).alias("_v"), F.pmod(F.xxhash64("item_id"), F.lit(32)).alias("_part"))
-    parts = [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)] if blocks > 1 else [q]
-    scored = reduce(DataFrame.unionByName, [near_items.join(F.broadcast(part), F.lit(True)) for part in parts])
-    scored = scored.select("query_id", "item_id", "_part", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    order = [F.desc("score"), "item_id"]
-    near = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("_n") <= k)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    spark = queries.sparkSession
+    q = queries.filter(F.col("vector").isNotNull())
+    n = max(1, -(-q.count() // QUERY_BLOCK))
+    few = items.filter(F.col("vector").isNotNull()).select(F.col("item_id").cast("long"), "vector")
+    found = []
+    for block in range(n):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select(F.col("query_id").cast("long"), "vector").collect()
+        if rows:
+            matrix, ids = np.array([r.vector for r in rows], dtype=np.float64), np.array([r.query_id for r in rows], dtype=np.int64)
+            found.append(few.mapInPandas(_scores(matrix, ids, k, least), "query_id long, item_id long, score double"))
+    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, item_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    ranked = scored.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
 
 
@@ -48,47 +69,47 @@ def first_per_group(rows: DataFrame, groups: list[str], order: list, k: int) ->
 
 
 def within_budget(rows: DataFrame, groups: list[str], order: list, size: Column, budget: int) -> DataFrame:
-    """Rows in order while their running size stays within the budget."""
+    """Rows in order while their running size stays within the budget; for groups that fit a task, as a query's
+    neighbours do (ordering.numbered has running sums for larger ones)."""
     window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(size).over(window)).filter(F.col("used") <= budget)
 
 
-def hold_out(rows: DataFrame, stratum: str, order: list, share: float) -> DataFrame:
-    """Of each stratum the first max(1, floor(n * share)) rows in order are held out."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
-    joined = ranked.join(F.broadcast(sizes), stratum)
-    return joined.withColumn("held_out", F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_size") * share))).drop("_n", "_size")
+def hold_out(rows: DataFrame, stratum: str, key: str, ties: list[str], share: float) -> DataFrame:
+    """Of each stratum the first max(1, floor(n * share)) rows by key and ties are held out."""
+    placed = numbered(rows, [stratum], key, ties)
+    return placed.withColumn("held_out", F.col("position") <= F.greatest(F.lit(1), F.floor(F.col("group_size") * share))).drop("position", "group_size")
 
 
-def batches(rows: DataFrame, groups: list[str], order: list, size: int) -> DataFrame:
+def batches(rows: DataFrame, groups: list[str], key: str, size: int) -> DataFrame:
     """Consecutive batches of a fixed size within a group."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1) / size))
+    return numbered(rows, groups, key, []).withColumn("batch", F.floor((F.col("position") - 1) / size)).drop("position", "group_size")
+
+
+def spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Start and stop of each chunk: it ends after the last separator past its half, where there is one."""
+    out, at = [], 0
+    while at < len(text):
+        stop = len(text)
+        if at + size < stop:
+            last = max(text.rfind(c, at, at + size) for c in "\n.!?;, ") + 1 - at
+            stop = at + (last if last > size // 2 else size)
+        out.append((at, stop))
+        at = len(text) if stop == len(text) else max(stop - overlap, at + 1)
+    return out
 
 
 def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Docs (doc_id, text) as chunks of at most size characters that share overlap characters.
 
-    A chunk ends at the last separator past its half where there is one. The walk is sequential in a text but local
-    to a row, so it is a fold over the most positions a text can have, and never leaves the JVM.
+    The walk is sequential in a text but local to a row: a batch of texts goes to Python and comes back as chunks, in
+    time linear in the text. Null and empty texts have none.
     """
-    length = F.char_length("text")
-    step = F.greatest(F.lit(1), F.ceil(length / F.lit(max(1, size // 2 - overlap))) + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-
-    def walk(s: Column, _: Column) -> Column:
-        at = s["at"]
-        window = F.substr(F.col("text"), at + 1, F.lit(size))
-        last = F.char_length(F.regexp_extract(window, r"(?s)^(.*[\n.!?;, ])", 1))
-        ends = at + size >= length
-        take = F.when(ends, length - at).when(last > size // 2, last).otherwise(F.lit(size))
-        stop = at + take
-        done = at >= length
-        return F.struct(
-            F.when(done | ends, length).otherwise(F.greatest(stop - overlap, at + 1)).cast("int").alias("at"),
-            F.when(done, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(at.cast("int").alias("start"), stop.cast("int").alias("stop"))))).alias("out"),
-        )
-
-    spans = F.aggregate(F.sequence(F.lit(1), step.cast("int")), start, walk)["out"]
-    each = docs.select("doc_id", "text", F.posexplode(spans).alias("chunk", "span"))
-    return each.select("doc_id", "chunk", "span.start", "span.stop", F.substr("text", F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")).alias("content"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, n, a, b, t[a:b]) for i, t in zip(frame["doc_id"], frame["text"]) if t for n, (a, b) in enumerate(spans(t, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "stop", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, chunk int, start int, stop int, content string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import labels, retrieval
+from tessera.operators.ordering import numbered
 from tessera.plans.registry import query
 from tessera.plans.session import ship, table
 
@@ -48,9 +49,11 @@ _PAIRS = f"""p AS (SELECT s_suppkey, c_custkey, s_nationkey AS nation, lower(tri
 
 
 def _pairs(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    met = s.join(c, s["s_nationkey"] == c["c_nationkey"])
-    return met.select("s_suppkey", "c_custkey", F.col("s_nationkey").alias("nation"), labels.value_score(F.col("s_name"), F.col("c_name")).alias("score")).filter("score > 0")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
+    met = labels.match_candidates(s, c, "nation")
+    scored = met.select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("c_custkey"), "nation", labels.value_score(F.col("left_text"), F.col("right_text")).alias("score"))
+    return scored.filter("score > 0")
 
 
 @query("value_match_candidates", f"WITH {_PAIRS} SELECT * FROM v WHERE score > 0")
@@ -76,17 +79,32 @@ def near_duplicate_contamination(spark, sf_dir):
 
 
 def holders(documents, benchmark, key: int = 12):
-    """doc_id, item_id: documents (doc_id, text) that hold a text of benchmark (item_id, text), in any case."""
-    b = benchmark.select("item_id", F.lower("text").alias("b")).filter("b IS NOT NULL").withColumn("head", F.substring("b", 1, key))
-    heads = F.broadcast(b.select("head").distinct()) if b.count() <= 100_000 else b.select("head").distinct()
+    """doc_id, item_id: documents (doc_id, text) that hold a text of benchmark (item_id, text), in any case.
+
+    A text that has a word start inside is looked up by the key's characters from there on: wherever the text stands, that
+    is a word start of the document too, so only word starts are looked at. The others, short ones, are looked up by
+    their first characters at every place, where there are any.
+    """
+    b = benchmark.select("item_id", F.lower("text").alias("b")).filter("b IS NOT NULL")
+    inner = F.nullif(F.regexp_extract("b", rf"(?s)^.+?[^\p{{L}}\p{{N}}]([\p{{L}}\p{{N}}].{{{key - 1}}})", 1), F.lit(""))
+    b = b.withColumn("inner", inner)
+    long, short = b.filter("inner IS NOT NULL").select("item_id", "b", F.col("inner").alias("head")), b.filter("inner IS NULL").select("item_id", "b", F.substring("b", 1, key).alias("head"))
     d = documents.select("doc_id", F.lower("text").alias("d"))
-    sizes = [r[0] for r in b.select(F.char_length("head")).distinct().collect()]  # at most key + 1 of them
-    places = [F.regexp_extract_all("d", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes) if n]
-    places += [F.when(F.col("d").isNotNull(), F.array(F.lit("")))] if 0 in sizes or not sizes else []
-    each = d.select("doc_id", F.explode(F.array_distinct(F.concat(*places))).alias("head"))
-    hits = each.join(heads, "head", "left_semi")
-    found = hits.join(b, "head").join(d, "doc_id").filter(F.col("d").contains(F.col("b")))
-    return found.select("doc_id", "item_id").distinct()
+    starts = F.regexp_extract_all("d", F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{key - 1}}}))"), F.lit(1))
+
+    def met(items, places):
+        heads = items.select("head").distinct()
+        heads = F.broadcast(heads) if heads.count() <= 100_000 else heads
+        each = d.select("doc_id", F.explode(F.array_distinct(places)).alias("head"))
+        return each.join(heads, "head", "left_semi").join(items, "head").join(d, "doc_id").filter(F.col("d").contains(F.col("b"))).select("doc_id", "item_id")
+
+    found = met(long, starts)
+    sizes = [r[0] for r in short.select(F.char_length("head")).distinct().collect()]  # at most key + 1 of them
+    if sizes:
+        places = [F.regexp_extract_all("d", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes) if n]
+        places += [F.when(F.col("d").isNotNull(), F.array(F.lit("")))] if 0 in sizes else []
+        found = found.unionByName(met(short, F.concat(*places)))
+    return found.distinct()
 
 
 @query("dedup_union", "SELECT text AS content FROM documents UNION SELECT text FROM benchmark")
@@ -108,23 +126,23 @@ def dedup_against_existing(spark, sf_dir):
 SELECT doc_id, lang, n <= greatest(1, floor(size * 0.1)) AS held_out FROM r""",
 )
 def stratified_holdout(spark, sf_dir):
-    return retrieval.hold_out(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", [(F.col("doc_id") * 7919) % 10007, "doc_id"], 0.1)
+    return retrieval.hold_out(table(spark, sf_dir, "documents").select("doc_id", "lang", ((F.col("doc_id") * 7919) % 10007).alias("key")), "lang", "key", ["doc_id"], 0.1).drop("key")
 
 
-_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (
- SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings JOIN q ON vec_id >= 20),
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (
+ SELECT query_id, vec_id AS item_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings CROSS JOIN q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s {where})
 SELECT * FROM r WHERE rank <= {k}"""
 
 
 def _vectors(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return rows.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id"), rows.filter("vec_id >= 20").withColumnRenamed("vec_id", "item_id")
+    return rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "item_id")
 
 
 @query("knn_match", _KNN.format(where="", k=5))
 def knn_match(spark, sf_dir):
-    """The first twenty vectors stand for the fields, all others for the labels."""
+    """Every vec_id divisible by 50 is asked, against all rows."""
     return retrieval.nearest(*_vectors(spark, sf_dir), 5)
 
 
@@ -143,19 +161,20 @@ def fewshot_retrieve(spark, sf_dir):
 @query("context_budget", "WITH r AS (SELECT lang, source, doc_id, sum(n_chars) OVER (PARTITION BY lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) SELECT * FROM r WHERE used <= 3000")
 def context_budget(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
-    return retrieval.within_budget(docs, ["lang", "source"], ["doc_id"], F.col("n_chars"), 3000).drop("n_chars")
+    placed = numbered(docs, ["lang", "source"], "doc_id", [], F.col("n_chars"))
+    return placed.filter("used <= 3000").select("lang", "source", "doc_id", "used")
 
 
 @query("fixed_batches", "SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 30)::BIGINT AS batch FROM documents")
 def fixed_batches(spark, sf_dir):
-    return retrieval.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 30)
+    return retrieval.batches(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", 30)
 
 
 @query("ordered_split", "WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) SELECT lang, doc_id, CASE WHEN n <= 40 THEN 0 WHEN n <= 60 THEN 1 ELSE 2 END AS part FROM r")
 def ordered_split(spark, sf_dir):
     """Given sizes in order (40, 20), the remainder to the last part."""
-    ranked = retrieval.first_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 1 << 40)
-    return ranked.select("lang", "doc_id", F.when(F.col("rank") <= 40, 0).when(F.col("rank") <= 60, 1).otherwise(2).alias("part"))
+    ranked = numbered(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", [])
+    return ranked.select("lang", "doc_id", F.when(F.col("position") <= 40, 0).when(F.col("position") <= 60, 1).otherwise(2).alias("part"))
 
 
 @query("text_chunks")
@@ -176,9 +195,8 @@ SELECT o_custkey, ['A','B','C','D','E'][i] AS suffix, orders[i] AS value FROM e,
 )
 def suffix_index_join(spark, sf_dir):
     """A suffix letter is the index into an entity's list."""
-    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
-    each = lists.select("o_custkey", F.posexplode(F.slice("orders", 1, 5)).alias("i", "value"))
-    return each.select("o_custkey", F.get(F.array(*map(F.lit, "ABCDE")), F.col("i")).alias("suffix"), "value")
+    five = retrieval.first_per_group(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 5)
+    return five.select("o_custkey", F.get(F.array(*map(F.lit, "ABCDE")), F.col("rank") - 1).alias("suffix"), F.col("o_orderkey").alias("value"))
 
 
 @query("position_drift", "SELECT p_partkey AS field, (CASE WHEN p_partkey % 4 = 0 THEN 9 ELSE p_partkey % 4 END)::BIGINT AS shift, p_partkey % 10 = 0 AS page_differs FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 10 = 0")
@@ -243,8 +261,8 @@ def grouped_questions(spark, sf_dir):
 
 @query(
     "context_retrieval",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (
- SELECT query_id, vec_id AS item_id, label % 3 AS part, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings JOIN q ON vec_id >= 20),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (
+ SELECT query_id, vec_id AS item_id, label % 3 AS part, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings CROSS JOIN q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, item_id) AS n FROM s),
 u AS (SELECT query_id, item_id, score, (100 + item_id % 300)::BIGINT AS size FROM r WHERE n <= CASE part WHEN 0 THEN 5 ELSE 2 END),
 b AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY score DESC, item_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM u) SELECT query_id, item_id, score, used FROM b WHERE used <= 1500""",

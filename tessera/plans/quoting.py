@@ -163,9 +163,12 @@ JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.ps <> b.p_par
 )
 def related_field(spark, sf_dir):
     """The first other field with the same suffix (here brand) and keyword (here size)."""
-    part = table(spark, sf_dir, "part")
-    a = part.select(F.col("p_partkey").alias("part"), "p_brand", "p_size")
-    return a.join(part.select("p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"]).filter("part <> p_partkey").groupBy("part").agg(F.min("p_partkey").alias("related"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    # the lowest other key of a group is one of its two lowest
+    lowest = part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("one"))
+    second = part.join(lowest, ["p_brand", "p_size"]).groupBy("p_brand", "p_size", "one").agg(F.min(F.when(F.col("p_partkey") > F.col("one"), F.col("p_partkey"))).alias("two"))
+    met = part.join(second, ["p_brand", "p_size"])
+    return met.select(F.col("p_partkey").alias("part"), F.when(F.col("p_partkey") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("related")).filter("related IS NOT NULL")
 
 
 _VIN = "'1' || chr((65 + k % 8)::INT) || lpad(k::VARCHAR, 6, '0') || substr('0123456789X', (1 + k % 11)::INT, 1) || lpad((k * 7 % 99999999)::VARCHAR, 8, '0')"

@@ -103,9 +103,9 @@ def field_page_default(spark, sf_dir):
 
 @query("cross_scenarios", "SELECT n_nationkey, r_regionkey, ['low','mid','high'][(1 + (n_nationkey * 7 + r_regionkey * 3) % 3)::INT] AS size FROM nation CROSS JOIN region")
 def cross_scenarios(spark, sf_dir):
-    """Two literal dimensions of fixed size, with a choice by remainder; unfolded as an array, not joined."""
+    """Every nation in every region's scenario, with a choice by remainder; the product is what is asked for."""
     size = F.get(F.array(*map(F.lit, ["low", "mid", "high"])), ((F.col("n_nationkey") * 7 + F.col("r_regionkey") * 3) % 3).cast("int"))
-    each = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, range(5)))).alias("r_regionkey"))
+    each = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(table(spark, sf_dir, "region").select("r_regionkey"))
     return each.select("n_nationkey", "r_regionkey", size.alias("size"))
 
 

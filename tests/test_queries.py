@@ -65,7 +65,8 @@ def test_nearest_meets_queries_in_blocks(spark, data, monkeypatch):
     got = retrieval.nearest(asked, items, 3)
     assert sorted(got.collect()) == want and len(want) == 3 * asked.count()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join ") == -(-asked.count() // 4)
+    blocks = {r.query_id: r.b for r in asked.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(-(-asked.count() // 4))).alias("b")).collect()}
+    assert plan.count("MapInPandas") == len(set(blocks.values())) > 1
 
 
 def test_containment_at_any_position(spark):
@@ -115,3 +116,60 @@ def test_text_chunks_model(spark, data):
         for (_, stop), (start, _) in zip(spans, spans[1:]):
             assert start == stop - 50
         assert all(0 < stop - start <= 500 for start, stop in spans)
+
+
+def test_match_candidates_lose_no_scoring_pair(spark):
+    """Every pair that value_score scores over 0, by brute force over texts of a small alphabet."""
+    import numpy as np
+
+    from tessera.operators import labels
+
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abc01"), int(rng.integers(1, 24)))) for _ in range(40)]
+    texts = []
+    for t in base:
+        for _ in range(3):
+            x = list(t)
+            for _ in range(int(rng.integers(0, 4))):
+                i = int(rng.integers(0, len(x) + 1))
+                x[i : i + int(rng.integers(0, 2))] = list(rng.choice(list("abc01"), int(rng.integers(0, 2))))
+            a, b = sorted(rng.integers(0, len(t) + 1, 2))
+            texts += ["".join(x), t[a:b]]
+    rows = [(int(rng.integers(2)), i, t) for i, t in enumerate(texts)] + [(0, 9998, None), (1, 9999, "")]
+    left, right = (spark.createDataFrame(r, "g int, id int, text string") for r in (rows[::2], rows[1::2]))
+    score = labels.value_score(F.col("left_text"), F.col("right_text"))
+    mine = labels.match_candidates(left, right, "g").select("left_id", "right_id", score.alias("s")).filter("s > 0").collect()
+    every = left.select("g", F.col("id").alias("left_id"), F.col("text").alias("left_text")).join(right.select("g", F.col("id").alias("right_id"), F.col("text").alias("right_text")), "g")
+    want = every.filter("left_text <> '' AND right_text <> ''").select("left_id", "right_id", score.alias("s")).filter("s > 0").collect()
+    assert len(mine) == len(set(mine)) and set(mine) == set(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("size", [7, 10**6])
+def test_numbered_in_buckets_equals_one_window(spark, size):
+    from pyspark.sql import Window
+
+    from tessera.operators.ordering import numbered
+
+    rows = spark.range(300).select(F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 53).alias("k"), "id").repartition(5)
+    w = Window.partitionBy("g").orderBy("k", "id")
+    want = rows.select("id", F.row_number().over(w).alias("position"), F.count("*").over(Window.partitionBy("g")).alias("group_size"), F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("used"))
+    got = numbered(rows, ["g"], "k", ["id"], F.col("id"), size).select("id", "position", "group_size", "used")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("text", ["", "a", "x" * 1200, "word " * 400, "one. two! " * 90, "\n".join(["line of it"] * 120)])
+def test_chunk_spans(text):
+    from tessera.operators.retrieval import spans
+
+    found = spans(text, 500, 50)
+    assert "".join(text[a + (50 if i else 0) : b] for i, (a, b) in enumerate(found)) == text
+    assert all(0 < b - a <= 500 for a, b in found)
+
+
+def test_nearest_without_vectors(spark):
+    from tessera.operators import retrieval
+
+    q = spark.createDataFrame([(1, None), (2, [0.0, 1.0])], "query_id long, vector array<double>")
+    items = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 0.0])], "item_id long, vector array<double>")
+    assert sorted(retrieval.nearest(q, items, 5).collect()) == [(2, 3, 1.0, 1), (2, 4, 0.0, 2)]
+    assert retrieval.nearest(q.limit(0), items, 5).count() == 0 == retrieval.nearest(q, items.limit(0), 5).count()
