@@ -46,28 +46,32 @@ def match_candidates(left: DataFrame, right: DataFrame, group: str, q: int = 3)
     ranked by how many texts have them. Texts too short for runs meet by their characters.
     """
     sides = left.select(group, "id", "text", F.lit(0).alias("side")).unionByName(right.select(group, "id", "text", F.lit(1).alias("side")))
-    sides = sides.filter("text IS NOT NULL").withColumn("x", F.lower(F.trim("text")))
-    n = F.char_length("x")
-    texts = sides.select("x").distinct()
-    size = F.when(n >= 2 * q, q).otherwise(1)  # a half of a shorter text may be shorter than a run
-    runs = lambda width: F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.concat(width.cast("string"), F.lit("|"), F.substr("x", i, width)))
-    every = texts.filter("x <> ''").select("x", F.explode(F.when(size == q, F.concat(runs(F.lit(q)), runs(F.lit(1)))).otherwise(runs(F.lit(1)))).alias("run"))
-    counted = every.groupBy("x", "run").agg(F.count("*").alias("times")).select("x", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "run")
+    sides = sides.filter("text IS NOT NULL").withColumn("x", F.lower(F.trim("text"))).filter("x <> ''")
+    texts = sides.groupBy(group, "x").agg(F.min("side").alias("low"), F.max("side").alias("high")).withColumn("n", F.char_length("x"))
+    n = F.col("n")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.concat(F.lit(f"{w}|"), F.substr("x", i, F.lit(w))))
+    every = texts.select("x", "n").distinct().select("x", "n", F.explode(F.when(n >= 2 * q, F.concat(runs(q), runs(1))).otherwise(runs(1))).alias("run"))  # a half of a shorter text may be shorter than a run
+    counted = every.groupBy("x", "n", "run").agg(F.count("*").alias("times")).select("x", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "run")
     common = counted.groupBy("run", "nth").agg(F.count("*").alias("texts"))
-    ranked = counted.join(common, ["run", "nth"])
-    edits = F.floor(F.char_length("x") * (0.15 / 0.85))
-    long_run = F.col("run").startswith(f"{q}|")
-    kept = ranked.groupBy("x").agg(F.array_sort(F.collect_list(F.when(long_run, F.struct("texts", "run", "nth")))).alias("long"), F.array_sort(F.collect_list(F.when(~long_run, F.struct("texts", "run", "nth")))).alias("short"))
-    # what a text is looked up by, and all that it can be found by
-    keys = kept.select("x", F.explode(F.concat(F.slice("long", 1, (q * edits + 1).cast("int")), F.when(F.size("long") <= q * edits, F.slice("short", 1, (edits + 1).cast("int"))).otherwise(F.slice("short", 1, F.when(F.char_length("x") < 2 * q, 1).otherwise(0))))).alias("k")).select("x", "k.run", "k.nth")
-    meets = lambda a, b: a.join(b.withColumnRenamed("x", "y"), ["run", "nth"]).select("x", "y").distinct()
-    near = meets(keys, counted.select("x", "run", "nth"))
-    both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    digits = texts.withColumn("d", F.regexp_replace("x", "[^0-9]", "")).filter("char_length(d) >= 3")
-    both = both.unionByName(digits.join(digits.withColumnRenamed("x", "y"), "d").select("x", "y")).distinct()
+    width = F.substring("run", 1, 1) == str(q)
+    rank = F.row_number().over(Window.partitionBy("x", width).orderBy("texts", "run", "nth")) - 1
+    ranked = counted.join(common, ["run", "nth"]).select("x", "n", "run", "nth", width.alias("wide"), rank.alias("rank"), F.count_if(width).over(Window.partitionBy("x")).alias("all_wide"))
+    edits = lambda length: F.floor(length * 0.15)
+    most = edits(F.ceil(n / 0.85))
+    enough = F.col("all_wide") > q * most  # runs are left over whatever k edits destroy; else single characters tell
+    keys = ranked.filter(F.when(F.col("wide"), F.col("rank") <= q * most).otherwise(F.when(enough, F.lit(False)).otherwise(F.col("rank") <= most)))
+    placed = lambda rows: rows.join(texts.select(group, "x", "low", "high"), "x")
+    left_keys, found_by = placed(keys), placed(counted).select(group, "run", "nth", F.col("x").alias("y"), F.col("n").alias("m"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    met = left_keys.join(found_by, [group, "run", "nth"]).filter(F.least("n", "m") >= 0.5 * F.greatest("n", "m"))
+    across = ((F.col("low") == 0) & (F.col("y_high") == 1)) | ((F.col("high") == 1) & (F.col("y_low") == 0))
+    k = edits(F.greatest("n", "m"))
+    near = met.filter(across & F.when(F.col("wide"), F.col("rank") <= q * k).otherwise(F.col("rank") <= k)).select(group, "x", "y")
+    both = near.unionByName(near.select(group, F.col("y").alias("x"), F.col("x").alias("y")))
+    digits = texts.select(group, "x", F.regexp_replace("x", "[^0-9]", "").alias("d")).filter("char_length(d) >= 3")
+    both = both.unionByName(digits.join(digits.withColumnRenamed("x", "y"), [group, "d"]).select(group, "x", "y")).distinct()
     a = sides.filter("side = 0").select(group, F.col("id").alias("left_id"), F.col("text").alias("left_text"), "x")
     b = sides.filter("side = 1").select(group, F.col("id").alias("right_id"), F.col("text").alias("right_text"), F.col("x").alias("y"))
-    return a.join(both, "x").join(b, [group, "y"]).select(group, "left_id", "right_id", "left_text", "right_text")
+    return a.join(both, [group, "x"]).join(b, [group, "y"]).select(group, "left_id", "right_id", "left_text", "right_text")
 
 
 def assign_one_to_one(candidates: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
