@@ -32,7 +32,7 @@ SELECT user_id, event_type, event_id, value, updates FROM r WHERE n = 1""",
 def stream_state(spark, sf_dir):
     """Z03 through Structured Streaming; equal to the batch result."""
     events = _stream(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    return state.run_to_table(state.state_stream(events, ["user_id", "event_type"], F.col("event_id") % 10 == 0)).drop("ts")
+    return state.upsert_to_table(state.state_stream(events, ["user_id", "event_type"], F.col("event_id") % 10 == 0), ["user_id", "event_type"]).drop("ts")
 
 
 @query("message_accumulation", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content, count(*) AS messages FROM conversations WHERE role = 'user' GROUP BY 1")

@@ -11,7 +11,8 @@ from tessera.plans.session import shared_dir
 
 
 def session_stream(events: DataFrame, user: str, ts: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """A session ends a gap after its last event; events later than the watermark are dropped."""
+    """A session ends a gap after its last event. In append mode a session comes out once the watermark has passed
+    its end, its state goes, and events later than the watermark are dropped; in complete mode all sessions stay."""
     marked = events.withWatermark(ts, late) if events.isStreaming else events
     w = F.session_window(ts, gap)
     found = marked.groupBy(user, w.alias("w")).agg(F.count("*").alias("events"), F.max(ts).alias("ended"))
@@ -30,15 +31,34 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     Each batch replaces the table it wrote last, so that a batch that is run again after a failure leaves one result.
     """
+    done = _run(stream, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(done[-1]) if done else stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def upsert_to_table(stream: DataFrame, keys: list[str], base: str | None = None) -> DataFrame:
+    """Run a streaming query in update mode: a batch writes the keys it changed, and a key's row is that of the last batch
+    that has it. A batch that is run again overwrites its own folder. With a base folder a later call goes on where the
+    last one stopped, state and all."""
+    spark = stream.sparkSession
+    base = base or f"{shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    _run(stream, "update", base)
+    every = spark.read.schema(stream.schema).option("recursiveFileLookup", "false").parquet(f"{base}/batches/*")
+    number = F.regexp_extract(F.input_file_name(), r"batch-(\d+)/", 1).cast("long")
+    rest = [c for c in stream.columns if c not in keys]
+    last = every.withColumn("_batch", number).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_b"))
+    return last.select(*[c if c in keys else f"_b.{c}" for c in stream.columns])
+
+
+def _run(stream: DataFrame, mode: str, base: str | None = None) -> list[str]:
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/tessera-stream-{uuid.uuid4().hex}"
     done: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{base}/batch-{number}"
+        path = f"{base}/batches/batch-{number}"
         batch.write.mode("overwrite").parquet(path)
         done.append(path)
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+    return done
