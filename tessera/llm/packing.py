@@ -38,8 +38,8 @@ ROOM = 8
 KEPT = 350_000
 #: Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter.
 _FOREIGN = re.compile("[\u0130\u0180-\U0010ffff]")
-#: The place before a last comma or stop of a chunk; the pre-tokeniser parts it from a letter or digit before it.
-_MARK = re.compile(r"(?<=[^\W_])(?=[,.](?:[ \n\t]|\Z))")
+#: A last comma or stop of a chunk; the pre-tokeniser parts it from a letter or digit before it.
+_MARK = re.compile(r"[,.](?=[ \n\t]|\Z)(?<=[^\W_].)")
 
 
 class Encoder(dict):
@@ -62,7 +62,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         if not _FOREIGN.search(text):
-            text = _MARK.sub(" ", text.lower())
+            text = _MARK.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
     def __missing__(self, chunk: str) -> bytes:
