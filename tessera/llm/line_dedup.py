@@ -115,7 +115,7 @@ def _recurring(parsed: DataFrame, min_docs: int, similarity: float) -> DataFrame
     part = F.pmod(F.xxhash64("doc_id"), F.lit(salts(parsed.sparkSession)))  # a template's documents fall to many tasks
     counted = held.groupBy("template", part.alias("part"), "doc_id").agg(F.lit(1).alias("_one")).groupBy("template", "part").agg(F.count("*").alias("docs"))
     wide = counted.groupBy("template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    general = found.join(wide, "template", "left_semi").select("line")
+    general = found.join(_sized(materialize(wide.select("template"))), "template", "left_semi").select("line")
     return materialize(exact.unionByName(general).distinct())
 
 
