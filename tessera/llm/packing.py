@@ -35,7 +35,7 @@ SHARD = 12_000
 #: A bin with more room than this goes to the second round.
 ROOM = 8
 #: Chunks in each of the two generations of ids that a worker keeps.
-KEPT = 350_000
+KEPT = 280_000
 #: Below U+0180 every letter is in normal form and, but for one, lower-cases to one letter.
 _FOREIGN = re.compile("[\u0130\u0180-\U0010ffff]")
 #: A last comma or stop of a chunk; the pre-tokeniser parts it from a letter or digit before it.
