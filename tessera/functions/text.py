@@ -1,4 +1,4 @@
-"""String functions of intake and extraction."""
+"""String functions of intake and extraction."""
 
 from __future__ import annotations
 
@@ -7,9 +7,42 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that tick a box; scale words of informal numbers.
+from tessera.functions.compare import contains_any, let, strip
+
+# Words that tick a box; scale words of informal numbers; what names an amount; what short labels also mean.
 TICKED = ["1", "true", "yes", "on", "x", "y", "checked", "selected", "☑", "✓", "✔", "☒"]
 SCALES = {"k": 1_000, "thousand": 1_000, "m": 1_000_000, "mil": 1_000_000, "million": 1_000_000}
+MONEY_FIELDS = ["annual_payroll", "annual_revenue", "subcontractor_cost", "premium", "cost_new", "stated_amount", "amount"]
+LABEL_ALIASES = {
+    "agency": "insurance agency producer broker",
+    "carrier": "insurance carrier insurer company",
+    "naic code": "NAIC identification code insurer",
+    "naic": "NAIC identification code",
+    "named insured": "named insured applicant customer",
+    "producer": "producer agent agency broker",
+    "policy number": "policy number identifier",
+    "effective date": "policy effective date start date",
+    "expiration date": "policy expiration date end date",
+    "date": "form completion date",
+    "phone": "phone number telephone",
+    "fax": "fax number facsimile",
+    "email": "email address electronic mail",
+    "address": "mailing address street",
+    "city": "city name municipality",
+    "state": "state province code",
+    "zip": "zip code postal code",
+    "premium": "premium amount dollar",
+    "deductible": "deductible amount",
+    "limit": "coverage limit amount",
+    "driver": "driver operator person",
+    "vehicle": "vehicle automobile car",
+    "vin": "vehicle identification number VIN",
+    "dob": "date of birth birthday",
+    "license": "driver license number",
+    "marital": "marital status married single",
+    "sex": "sex gender male female",
+    "underwriter": "underwriter person name",
+}
 
 
 def tick(c: Column) -> Column:
@@ -50,6 +83,37 @@ def suffix(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"_([A-M]|[0-9]+)$", 1), F.lit(""))
 
 
+def readable_name(c: Column) -> Column:
+    """a field name as words: its one-letter suffix goes, capitals and underscores part words."""
+    return F.trim(F.lower(F.replace(F.regexp_replace(F.regexp_replace(c, "_[A-Z]$", ""), "([a-z])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))))
+
+
+def with_alias(label: Column, aliases: dict[str, str] = LABEL_ALIASES) -> Column:
+    """a label that is known, case and outer blanks aside, with what it also means behind it."""
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.concat(label, F.lit(" "), F.try_element_at(known, F.lower(strip(label)))), label)
+
+
+def canonical_key(key: Column, aliases: dict[str, str]) -> Column:
+    """the name that the caller's alias table gives a key, else the key."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), key), key)
+
+
+def money_text(field: Column, value: Column) -> Column:
+    """amounts, told by the field's name or a leading $ sign, as plain digits; $4.2 million is 4200000, an all-zero
+    fraction goes, and what is no number stays as it is but for outer blanks."""
+
+    def read(v: Column) -> Column:
+        scaled = F.replace(F.regexp_extract(v, r"(?i)^\$?([0-9,.]+)\s*(million|mil|m)$", 1), F.lit(","), F.lit("")).try_cast("double")
+        plain = strip(F.replace(F.ltrim(v, F.lit("$")), F.lit(","), F.lit("")))
+        whole = F.regexp_extract(plain, r"^0*([0-9]+?)(?:\.0*)?$", 1)
+        number = F.when(plain.rlike(r"^\.0+$"), "0").when(whole != "", whole).when(plain.rlike(r"^[0-9.]*[0-9][0-9.]*$"), plain)
+        is_amount = contains_any(F.lower(field), MONEY_FIELDS) | (v.startswith("$") & v.rlike("[0-9]"))
+        return F.when(is_amount, F.coalesce((scaled * 1_000_000).cast("decimal(38,0)").cast("string"), number, v)).otherwise(v)
+
+    return let(strip(value), read)
+
+
 def short_id(c: Column) -> Column:
     """The first eight hex digits of a content's SHA-256."""
     return F.substring(F.sha2(c, 256), 1, 8)

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.compare import contains_any, let, strip
+from tessera.functions.compare import amount, contains_any, iso_date, let, levenshtein_ratio, strip
 
 # What names a kind of field, and what a label or an amount's label says.
 DATE_WORDS = "date birth hired effective expiration completion".split()
 PHONE_WORDS = "phone fax tel".split()
 MONEY_WORDS = "amount limit premium deductible cost value price rate charge".split()
 AMOUNT_WORDS = "premium amount limit deductible".split()
+MATCHED_AMOUNTS = "amount limit premium deductible cost area revenue employee".split()
 BOX_VALUES = "1 0 x s yes no off true false on y n".split()
 NOT_AN_AMOUNT = ["partnership", "owner", "bus", "cell", "home", "members", "no of members", "phone", "fax", "percent", "percentage", "use", "employer", "driver"]
 STREET_MARKS = ["MAIN ST", "MAIN STREET", " AVE ", " AVE.", "BLVD", "SUITE", "STE ", " ST ", " ST."]
@@ -262,3 +263,23 @@ def match_basis(label: Column, field: Column, tooltip: Column) -> Column:
     generic = first.isin("indicator", "explanation", "description", "amount", "date", "code", "number", "name")
     by_name = name.contains(label) | ((F.size(words) >= 2) & (in_name >= 2)) | (~generic & name.contains(first) & long_first)
     return F.when(F.char_length(label) >= 3, F.when(by_tip, "tooltip").when(by_name, "field_name"))
+
+
+def matching_form(value: Column, field: Column) -> Column:
+    """a value as it is matched: a day, an amount or a phone number's digits by the field's name, else lower case;
+    empty for null."""
+    name, s = F.lower(F.coalesce(field, F.lit(""))), strip(F.coalesce(value, F.lit("")))
+    typed = F.when(s == "", "").when(name.contains("date") & ~name.contains("update"), iso_date(s)).when(contains_any(name, MATCHED_AMOUNTS), amount(s))
+    return typed.when(contains_any(name, ["phone", "fax"]), F.regexp_replace(s, "[^0-9]", "")).otherwise(F.lower(s))
+
+
+def match_score(expected: Column, found: Column) -> Column:
+    """F09 on matching forms: 1 equal, 0.95 equal digits (3 or more) or the same day, 0.80 containment of half or more of
+    texts of 3 characters or more, else 0.85 of an edit ratio from 0.85 on; 0 where either is empty."""
+    dx, dy = F.regexp_replace(expected, "[^0-9]", ""), F.regexp_replace(found, "[^0-9]", "")
+    shorter, longer = F.least(F.char_length(expected), F.char_length(found)), F.greatest(F.char_length(expected), F.char_length(found))
+    held = (shorter >= 3) & (expected.contains(found) | found.contains(expected)) & (shorter / longer >= 0.5)
+    same_day = let(iso_date(expected), lambda day: day.rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}") & (day == iso_date(found)))
+    ratio = levenshtein_ratio(expected, found)
+    scored = F.when(expected == found, 1.0).when((F.char_length(dx) >= 3) & (dx == dy), 0.95).when(same_day, 0.95).when(held, 0.80)
+    return F.when((F.coalesce(expected, F.lit("")) == "") | (F.coalesce(found, F.lit("")) == ""), 0.0).otherwise(scored.when(ratio >= 0.85, F.round(ratio * 0.85, 6)).otherwise(0.0))

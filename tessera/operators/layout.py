@@ -229,3 +229,34 @@ def as_text(blocks: DataFrame, tolerance: int) -> DataFrame:
     rows = blocks.withColumn("_new", opens).withColumn("_row", F.sum("_new").over(w))
     lines = rows.groupBy("doc", "page", "_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), " | ").alias("_line"))
     return lines.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "_line"))), lambda s: s["_line"]), "\n").alias("text"))
+
+
+def gap_regions(rows: DataFrame, gap: int = 45, padding: int = 15, least: int = 60) -> DataFrame:
+    """Doc, page, region, x_min..y_max: rows (doc, page, y, x_min..y_max) and the page's width and height. A row more
+    than the gap below the end of the row before it opens a region; regions are padded, those lower than the least go,
+    the rest are cut at the page."""
+    w = Window.partitionBy("doc", "page").orderBy("y", "y_min")
+    end = F.lag("y_max").over(w)
+    opens = F.coalesce((end >= 0) & (F.col("y_min") - end > gap), F.lit(False)).cast("int")
+    placed = rows.withColumn("_open", opens).withColumn("region", F.sum("_open").over(w))
+    edge = lambda f, c, by: (f(c) + by).alias(c)
+    boxes = placed.groupBy("doc", "page", "region").agg(
+        edge(F.min, "x_min", -padding), edge(F.min, "y_min", -padding), edge(F.max, "x_max", padding), edge(F.max, "y_max", padding), F.max("width").alias("width"), F.max("height").alias("height"),
+    ).filter(F.col("y_max") - F.col("y_min") >= least)
+    cut = boxes.select("doc", "page", "region", *[F.greatest(F.lit(0), c).alias(c) for c in ("x_min", "y_min")], F.least("x_max", "width").alias("x_max"), F.least("y_max", "height").alias("y_max"))
+    return cut.filter("x_max > x_min AND y_max > y_min")
+
+
+def tiles(pages: DataFrame, down: int = 2, across: int = 2) -> DataFrame:
+    """Doc, page, row, col, x_min..y_max: a page (width, height) in a grid of tiles; the last of each takes the rest."""
+    grid = pages.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    step = lambda size, n: F.floor(F.col(size) / n)
+    ends = lambda at, size, n: F.when(F.col(at) < n - 1, (F.col(at) + 1) * step(size, n)).otherwise(F.col(size))
+    return grid.select("doc", "page", "row", "col", (F.col("col") * step("width", across)).alias("x_min"), (F.col("row") * step("height", down)).alias("y_min"), ends("col", "width", across).alias("x_max"), ends("row", "height", down).alias("y_max"))
+
+
+def table_headers(rows: DataFrame, blocks: int = 3, lines: int = 3) -> DataFrame:
+    """Doc, page, row: the first wide row of a page's table where all its blocks look like labels."""
+    wide = rows.groupBy("doc", "page", "row").agg(F.count("*").alias("n"), F.bool_and(looks_like_label(F.col("text"))).alias("named")).filter(F.col("n") >= blocks)
+    first = wide.groupBy("doc", "page").agg(F.count("*").alias("rows"), F.min_by(F.struct("row", "named"), "row").alias("_f")).filter(F.col("rows") >= lines)
+    return first.filter("_f.named").select("doc", "page", "_f.row")

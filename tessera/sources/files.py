@@ -1,4 +1,4 @@
-"""JSON and JSONL sources and sinks: catalogs, templates, label maps, ground truth, result bundles."""
+"""JSON and JSONL sources and sinks: catalogs, templates, label maps, ground truth, result bundles, page images."""
 
 from __future__ import annotations
 
@@ -72,3 +72,22 @@ def not_done(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows replace old ones of the same id."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def usable_cache(pages: DataFrame, kinds: tuple[str, ...] = ("text", "blocks")) -> DataFrame:
+    """Doc, usable of (doc, kind, page): whether each cached kind has as many pages as there are images."""
+    n = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("page")))
+    counted = pages.groupBy("doc").agg(n("image").alias("image"), *[n(k).alias(k) for k in kinds])
+    full = [(F.col(k) > 0) & (F.col(k) == F.col("image")) for k in kinds]
+    return counted.select("doc", F.array_min(F.array(*[c.cast("int") for c in full])).cast("boolean").alias("usable"))
+
+
+def page_images(files: DataFrame, stems: DataFrame) -> DataFrame:
+    """Folder, stem, page, path: images (folder, path) named stem_page_N.png, cleaned variants aside; a stem without
+    any takes all page images of its folder."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    parts = files.withColumn("_name", name).filter(F.col("_name").rlike(r"_page_[0-9]+\.png$") & ~F.col("_name").contains("_clean"))
+    seen = parts.select("folder", F.regexp_extract("_name", r"^(.*)_page_[0-9]+\.png$", 1).alias("stem"), F.regexp_extract("_name", r"_page_([0-9]+)\.png$", 1).cast("int").alias("page"), "path")
+    own = stems.join(seen, ["folder", "stem"])
+    rest = stems.join(own.select("folder", "stem").distinct(), ["folder", "stem"], "left_anti").join(seen.drop("stem"), "folder")
+    return own.unionByName(rest.select(*own.columns))

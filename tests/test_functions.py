@@ -81,3 +81,26 @@ def test_points_on_edges(spark):
     points = spark.createDataFrame([(1, 200, 200), (1, 199, 200), (1, 401, 400), (2, 200, 200)], "page int, x int, y int")
     regions = spark.createDataFrame([(1, "r", 200, 200, 400, 400)], "page int, field string, x_min int, y_min int, x_max int, y_max int")
     assert [(r.x, r.y) for r in spatial.points_in_regions(points, regions).collect()] == [(200, 200)]
+
+
+def test_templates_and_label_maps(spark, tmp_path):
+    box = {"page": 1, "x_min": 1, "y_min": 2, "x_max": 3, "y_max": 4}
+    (tmp_path / "t.json").write_text(json.dumps({"form_type": "125", "regions": [{"field_name": "A", "field_type": "text", **box}]}))
+    (tmp_path / "empty.json").write_text(json.dumps({"form_type": "127", "template_dpi": 200, "regions": []}))
+    rows = [(r.form, r.dpi, r.field_name, r.x_max) for r in files.region_template(spark, str(tmp_path)).collect()]
+    assert rows == [("125", 300, "A", 3.0)]
+    maps = tmp_path / "maps"
+    maps.mkdir()
+    (maps / "m.json").write_text(json.dumps({"form_type": "125", "mappings": {"agency": [{"field_name": "A", "match_confidence": 0.9, "seen_count": 2}, {"field_name": "B"}], "none": []}}))
+    found = {(r.label, r.field_name, r.match_confidence, r.seen_count) for r in files.label_map(spark, str(maps)).collect()}
+    assert found == {("agency", "A", 0.9, 2), ("agency", "B", None, None)}
+
+
+def test_bundles_and_stores(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, stage string, n int")
+    files.write_bundle(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["stage=x", "stage=y"]
+    assert {(r.id, r.stage, r.n) for r in spark.read.json(str(tmp_path / "out")).collect()} == {("a", "x", 1), ("b", "y", 2)}
+    new = spark.createDataFrame([("b", "z", 3), ("c", "y", 4)], rows.schema)
+    assert {tuple(r) for r in files.upsert(rows, new, "id").collect()} == {("a", "x", 1), ("b", "z", 3), ("c", "y", 4)}
+    assert [r.id for r in files.not_done(new, rows, "id").collect()] == ["c"]
