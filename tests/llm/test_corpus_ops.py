@@ -318,6 +318,26 @@ def test_toxicity_query_holds_out(spark, data, empty):
     assert toxicity.reject(empty, labels).count() == 0
 
 
+def test_toxicity_learns_every_labelled_row(spark):
+    """The last toxic rows by hashed doc_id alone hold a second toxic word; a sample of 3000 rows never meets it."""
+    ids = spark.range(6000).filter("crc32(cast(cast(id as string) as binary)) % 4 != 2").orderBy("id").limit(4000).orderBy(F.xxhash64("id"))
+    rng, rows, labels = np.random.default_rng(5), [], []
+    for at, r in enumerate(ids.collect()):
+        words, toxic = list(rng.choice(WORDS, 6)), at % 2
+        words[at % 6] = words[at % 6] if not toxic else "vile" if at < 3000 else "grim"
+        rows.append((r.id, " ".join(words)))
+        labels.append((r.id, 0, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, labels[0], (10_000, 0, 1)], "doc_id long, quality int, toxic int")  # one row twice, one without a text
+    model = toxicity.train_from(docs, marks)
+    assert np.mean([toxicity.score_text(model, text) >= toxicity.CUT for (_, text), (_, _, y) in zip(rows, labels, strict=True) if y and "grim" in text]) > 0.9
+    assert np.mean([toxicity.score_text(model, text) < toxicity.CUT for (_, text), (_, _, y) in zip(rows, labels, strict=True) if not y]) > 0.9
+    assert model["rows"] == model["calibrated"] == 4000
+    several = toxicity.train_from(docs, marks, shard=1000)
+    right = [(toxicity.score_text(several, text) >= toxicity.CUT) == bool(y) for (_, text), (_, _, y) in zip(rows, labels, strict=True)]
+    assert several["rows"] == several["calibrated"] == 4000 and np.mean(right) > 0.95
+
+
 def test_reject_keeps_columns(docs, spark):
     labels = spark.createDataFrame([(100 + i, 0, int(i % 2)) for i in range(20)] + [(None, 0, 1), (101, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.reject(docs, labels).columns == docs.columns
