@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.compare import amount, contains_any, iso_date, let, levenshtein_ratio, strip
+from tessera.functions.compare import amount, contains_any, day_of, iso_date, let, levenshtein_ratio, strip, whole
 
 # What names a kind of field, and what a label or an amount's label says.
 DATE_WORDS = "date birth hired effective expiration completion".split()
@@ -81,11 +81,11 @@ def strict_date(c: Column) -> Column:
 def _strict(s: Column) -> Column:
     def read(layout: str) -> Column:
         parts = {"M/d/yyyy": r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "M-d-yyyy": r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "yyyy-M-d": r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "M/d/yy": r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "M-d-yy": r"^(\d{1,2})-(\d{1,2})-(\d{2})$"}[layout]
-        g = [F.regexp_extract(s, parts, i).try_cast("int") for i in (1, 2, 3)]
+        g = [whole(F.regexp_extract(s, parts, i)) for i in (1, 2, 3)]
         y, m, d = (g[0], g[1], g[2]) if layout.startswith("y") else (g[2], g[0], g[1])
         if not layout.endswith("yyyy") and not layout.startswith("y"):
             y = y + F.when(y >= 69, 1900).otherwise(2000)
-        return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
+        return day_of(y, m, d)
 
     return F.coalesce(*map(read, DAY_LAYOUTS))
 
@@ -99,7 +99,7 @@ def us_date(c: Column) -> Column:
 
     def told(v: Column) -> Column:
         m = lambda i: F.regexp_extract(v, r"^(\d{1,2})[-./](\d{1,2})[-./](\d{2,4})", i)
-        year = F.when(F.char_length(m(3)) == 2, F.concat(F.when(m(3).try_cast("int") < 50, "20").otherwise("19"), m(3))).otherwise(m(3))
+        year = F.when(F.char_length(m(3)) == 2, F.concat(F.when(whole(m(3)) < 50, "20").otherwise("19"), m(3))).otherwise(m(3))
         parts = F.when(m(1) != "", F.concat_ws("/", F.lpad(m(1), 2, "0"), F.lpad(m(2), 2, "0"), year))
         return F.when(v.rlike(r"^\d{2}/\d{2}/\d{4}$"), v).otherwise(F.coalesce(F.date_format(strict_date(v), _US), parts, v))
 
@@ -114,14 +114,14 @@ def ocr_date(c: Column) -> Column:
     s = F.regexp_replace(s, r"^[J)\]](\d)[/-](\d{1,2})[/-](\d{4}).*$", "0$1/$2/$3")
 
     def month(v: Column) -> Column:
-        n = F.regexp_extract(v, r"^(\d\d)[/-]\d{1,2}[/-]\d{4}", 1).try_cast("int")
+        n = whole(F.regexp_extract(v, r"^(\d\d)[/-]\d{1,2}[/-]\d{4}", 1))
         return F.when((n > 12) & (n % 10 > 0), F.regexp_replace(v, r"^\d(\d)[/-](\d{1,2})[/-](\d{4}).*$", "0$1/$2/$3")).otherwise(v)
 
     def read(v: Column) -> Column:
         day_first = F.regexp_replace(v, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$2/$1/$3")
-        words = F.try_to_timestamp(F.initcap(v), F.lit("MMMM d, yyyy")).cast("date")
+        words = F.when(v.rlike(r"^\p{L}+ \d+, [+-]?\d+$"), F.try_to_timestamp(F.initcap(v), F.lit("MMMM d, yyyy")).cast("date"))
         inside = lambda i: F.regexp_extract(v, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", i)
-        ranged = inside(1).try_cast("int").between(1, 12) & inside(2).try_cast("int").between(1, 31)
+        ranged = whole(inside(1)).between(1, 12) & whole(inside(2)).between(1, 31)
         loose = F.when(ranged, F.concat_ws("/", F.lpad(inside(1), 2, "0"), F.lpad(inside(2), 2, "0"), inside(3)))
         return F.coalesce(*[F.date_format(d, _US) for d in (strict_date(v), strict_date(day_first), words)], loose)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.compare import strip
+from tessera.functions.compare import strip, whole
 from tessera.functions.text import key_form
 
 # What an enriched tooltip says, and the training phases.
@@ -110,7 +110,7 @@ def flatten(rows: DataFrame, depth: int = 4) -> DataFrame:
     numbered = r"(?i)^(vehicle|driver)\s+(\d+)$"
     values = lambda text: F.from_json(text, "map<string,string>")
     top = rows.select("doc", F.explode(values(F.col("json"))).alias("name", "text"))
-    n = F.regexp_extract(F.trim("name"), numbered, 2).try_cast("int")
+    n = whole(F.regexp_extract(F.trim("name"), numbered, 2))
     is_object = F.coalesce(F.col("text").startswith("{"), F.lit(False))
     group = is_object & n.isNotNull()
     key = F.when(group, F.initcap(F.regexp_extract(F.trim("name"), numbered, 1))).otherwise(F.col("name"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.checks import age_warns, phone, tax_id, vin_valid
-from tessera.functions.compare import strip
+from tessera.functions.compare import strip, whole
 from tessera.functions.values import strict_date
 
 EFFECTIVE, EXPIRATION = r"(?i)effective.*date|date.*effective|eff.*date", r"(?i)expiration.*date|date.*expir|exp.*date"
@@ -45,7 +45,7 @@ def field_issues(rows: DataFrame, as_of: str, zip_ranges: DataFrame) -> DataFram
     """Doc, field, rule, severity (always warning) on the day as_of."""
     v, name, day = strip(F.coalesce("value", F.lit(""))), F.lower("field"), F.lit(as_of).cast("date")
     d, n = _digits(v), F.char_length(_digits(v))
-    year = d.try_cast("int")
+    year = whole(d)
     single = _inline(
         rows,
         [

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.plans.session import table
+from tessera.plans.session import spread, table
+
+#: Documents a task.
+DOCS = 10_000
 
 
 def sql(v) -> str:
@@ -32,7 +35,7 @@ def cases(spark, sf_dir: str, schema: str, rows: Sequence[Sequence[tuple]]) -> D
     """doc and the schema's columns: the rows of case number doc modulo the number of cases."""
     types = [f.split()[:2] for f in schema.split(",")]
     deal = lambda case: F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, types)]) for r in case])
-    doc = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"))
+    doc = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc")), "doc", DOCS)
     every = F.array(*map(deal, rows))
     return doc.select("doc", F.inline(F.element_at(every, (F.col("doc") % len(rows) + 1).cast("int"))))
 

@@ -30,6 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, each: int) -> DataFrame:
+    """rows dealt by key over partitions of about so many rows.
+
+    A file is read by as many tasks as it has row groups, and a shuffle has as many partitions as it is set to; either
+    lets a task's time and memory grow with the table. Later groups and joins on the key need no shuffle of their own.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 _SHIPPED: set[str] = set()
 
 
