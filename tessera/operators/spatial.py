@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.compare import let
+
 CELL = 200
+#: Edge of the cells in which small regions meet points: few points of a cell lie outside a region that touches it.
+FINE = 32
+BOX = ("x_min", "y_min", "x_max", "y_max")
+
+
+def _tiles(regions: DataFrame, cell: int, prefix: str = "") -> DataFrame:
+    """regions once for each grid cell (_cx, _cy) that they touch."""
+    spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(prefix + lo) / cell), F.floor(F.col(prefix + hi) / cell)))
+    return regions.withColumn("_cx", spans("x_min", "x_max")).withColumn("_cy", spans("y_min", "y_max"))
+
+
+def dealt(points: DataFrame, parts: int, page: str = "page", cell: int = FINE) -> DataFrame:
+    """points with their cell, dealt by it, so that what groups or meets them by cell needs no shuffle of its own."""
+    placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    return placed.repartition(parts, page, "_cx", "_cy")
+
+
+def _inside(x: Column, y: Column) -> Column:
+    return x.between(F.col("x_min"), F.col("x_max")) & y.between(F.col("y_min"), F.col("y_max"))
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, page: str = "page", cell: int = CELL) -> DataFrame:
@@ -14,11 +37,36 @@ def points_in_regions(points: DataFrame, regions: DataFrame, page: str = "page",
     Regions are exploded into the grid cells they touch and meet points by an equi-join on page and cell. A point has
     one cell, so no pair comes twice, and a crowded page is dealt by cell.
     """
-    spans = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    tiles = regions.withColumn("_cx", F.explode(spans("x_min", "x_max"))).withColumn("_cy", F.explode(spans("y_min", "y_max")))
+    tiles = _tiles(regions, cell)
     placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    inside = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
-    return placed.join(tiles, [page, "_cx", "_cy"]).filter(inside).drop("_cx", "_cy")
+    return placed.join(tiles, [page, "_cx", "_cy"]).filter(_inside(F.col("x"), F.col("y"))).drop("_cx", "_cy")
+
+
+def totals_in_regions(points: DataFrame, regions: DataFrame, first: list[Column], again: list[Column], page: str = "page") -> DataFrame:
+    """Regions with what again makes, over the places inside, of what first makes of each place's points; regions
+    without points go. points are dealt.
+
+    Points of one place are summed before they meet regions, and regions of one shape meet them once: however many
+    points and regions a page has, its pairs are bounded by its places and shapes.
+    """
+    shape = [page, *BOX]
+    places = points.groupBy(page, "_cx", "_cy", "x", "y").agg(*first)
+    met = places.join(_tiles(regions.select(*shape).distinct(), FINE), [page, "_cx", "_cy"]).filter(_inside(F.col("x"), F.col("y")))
+    return regions.join(met.groupBy(*shape).agg(*again), shape)
+
+
+def best_in_regions(points: DataFrame, regions: DataFrame, also: list[str], entry: list, pick: Callable[[Column], Column], best: Callable, page: str = "page") -> DataFrame:
+    """Regions with _best, the best of what pick makes of the points inside (an array of x, y and entry; null
+    where it has none) by cell; regions without one go. points are dealt.
+
+    The points of a cell are one array, which each shape that touches the cell (regions alike in also too) walks. What is
+    shuffled or sorted is a row for each shape and cell, not one for each point and region.
+    """
+    shape = [page, *BOX, *also]
+    cells = points.groupBy(page, "_cx", "_cy").agg(F.collect_list(F.struct("x", "y", *entry)).alias("_p"))
+    found = let(F.filter("_p", lambda p: _inside(p["x"], p["y"])), lambda f: F.when(F.size(f) > 0, pick(f)))
+    met = _tiles(regions.select(*shape).distinct(), FINE).join(cells, [page, "_cx", "_cy"]).select(*shape, found.alias("_best"))
+    return regions.join(met.groupBy(*shape).agg(best("_best").alias("_best")).filter("_best IS NOT NULL"), shape)
 
 
 def iou(a: str, b: str) -> Column:
@@ -31,22 +79,24 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
-def best_overlaps(a: DataFrame, b: DataFrame, least: float = 0.15, cell: int = CELL) -> DataFrame:
+def best_overlaps(a: DataFrame, b: DataFrame, least: float = 0.15, cell: int = 2 * FINE) -> DataFrame:
     """For each box of a (a_id, page, x_min..) the box of b (b_id, ..) of the highest IoU, ties by id.
 
-    Both sides are exploded into cells; a pair that shares several cells is kept only in the cell of the lower left
-    corner of its intersection, so no distinct is needed.
+    Boxes of one shape have one answer, and of those of b the lowest id can win, so shapes meet, not boxes. Both sides are
+    exploded into cells; a pair that shares several cells is kept only in the cell of the lower left corner of its
+    intersection, so no distinct is needed.
     """
-    spans = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    shape = ["page", *BOX]
 
-    def tiled(df: DataFrame, prefix: str) -> DataFrame:
-        named = df.select("page", f"{prefix}id", *[F.col(k).alias(prefix + k) for k in ("x_min", "y_min", "x_max", "y_max")])
-        return named.withColumn("_cx", F.explode(spans(f"{prefix}x_min", f"{prefix}x_max"))).withColumn("_cy", F.explode(spans(f"{prefix}y_min", f"{prefix}y_max")))
+    def tiled(df: DataFrame, prefix: str, *rest: str) -> DataFrame:
+        return _tiles(df.select("page", *rest, *[F.col(k).alias(prefix + k) for k in BOX]), cell, prefix)
 
-    met = tiled(a, "a_").join(tiled(b, "b_"), ["page", "_cx", "_cy"])
+    met = tiled(a.select(*shape).distinct(), "a_").join(tiled(b.groupBy(*shape).agg(F.min("b_id").alias("b_id")), "b_", "b_id"), ["page", "_cx", "_cy"])
     home = (F.floor(F.greatest("a_x_min", "b_x_min") / cell) == F.col("_cx")) & (F.floor(F.greatest("a_y_min", "b_y_min") / cell) == F.col("_cy"))
     scored = met.filter(home).withColumn("iou", F.round(iou("a_", "b_"), 6)).filter(F.col("iou") >= least)
-    return scored.groupBy("a_id").agg(F.min_by(F.struct("b_id", "iou"), F.struct(-F.col("iou"), "b_id")).alias("_b")).select("a_id", "_b.b_id", "_b.iou")
+    best = scored.groupBy("page", *[F.col(f"a_{k}").alias(k) for k in BOX]).agg(F.min_by(F.struct("b_id", "iou"), F.struct(-F.col("iou"), "b_id")).alias("_b"))
+    won = a.join(best, shape).groupBy("a_id").agg(F.min_by("_b", F.struct(-F.col("_b.iou"), "_b.b_id")).alias("_b"))
+    return won.select("a_id", "_b.b_id", "_b.iou")
 
 
 def rows_by_previous(blocks: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -100,11 +150,29 @@ def asof_sections(blocks: DataFrame, anchors: DataFrame, keys: list[str]) -> Dat
     return both.withColumn("section", F.coalesce(above, first, F.lit("full_page"))).filter("_kind = 1").drop("_kind")
 
 
-def anchor_offsets(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches (anchor, dx, dy): each anchor's nearest match under 500, then the page's median shift."""
-    distance = F.abs("dx") + F.abs("dy")
-    near = matches.withColumn("_d", distance).filter(F.col("_d") < 500).groupBy(*keys, "anchor").agg(F.min_by(F.struct("dx", "dy"), F.struct("_d", "dx", "dy")).alias("_m"))
-    return near.groupBy(*keys).agg(F.median("_m.dx").alias("dx"), F.median("_m.dy").alias("dy"), F.count("*").alias("anchors"))
+def anchor_offsets(anchors: DataFrame, blocks: DataFrame, keys: list[str], parts: int = 64, slices: int = 16) -> DataFrame:
+    """Anchors (keys, anchor, x, y) and blocks (keys, x, y): the shift to each anchor's nearest block under 500, ties by dx and dy, then
+    the page's median shift.
+
+    Places meet, not rows: anchors of one place have one nearest block. A page's places are some arrays (slices), which
+    each of its anchors' places walks, so there is no row for each pair. Pages may be few and their places many, so the
+    slices are dealt over a given number of tasks; by their bytes they would be one.
+    """
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    spots = blocks.select(*keys, F.struct(x.alias("x"), y.alias("y")).alias("_b")).distinct()
+    spots = spots.withColumn("_s", F.pmod(F.xxhash64("_b"), F.lit(slices)).cast("int")).repartition(parts, *keys, "_s").groupBy(*keys, "_s").agg(F.collect_list("_b").alias("_b"))
+    placed = anchors.select(*keys, "anchor", x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+
+    def shift(b: Column) -> Column:
+        dx, dy = b["x"] - F.col("x"), b["y"] - F.col("y")
+        return F.when((F.abs(dx) + F.abs(dy)) < 500, F.struct((F.abs(dx) + F.abs(dy)).alias("d"), dx.alias("dx"), dy.alias("dy")))
+
+    asking = placed.select(*keys, "x", "y").distinct().withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(parts, *keys, "_s")
+    nearest = asking.join(spots.hint("shuffle_hash"), [*keys, "_s"]).select(*keys, "x", "y", F.array_min(F.transform("_b", shift)).alias("_m"))
+    nearest = nearest.groupBy(*keys, "x", "y").agg(F.min("_m").alias("_m"))
+    near = placed.join(nearest, [*keys, "x", "y"]).groupBy(*keys, "anchor").agg(F.min("_m").alias("_m"))
+    found = near.groupBy(*keys).agg(F.median("_m.dx").alias("dx"), F.median("_m.dy").alias("dy"), F.count("_m").alias("anchors"))
+    return found.filter("anchors > 0")
 
 
 def cells(rows: DataFrame, columns: DataFrame, blocks: DataFrame, keys: list[str], slack: int = 10) -> DataFrame:
@@ -142,31 +210,34 @@ def nearest_right(blocks: DataFrame, page: str, dy: float = 30, gap: float = 300
     return pages.select(page, F.inline(F.aggregate("_labels", zero, step)))
 
 
-def typed_pick(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks that fell into typed regions (field_type, text, confidence, ord) to one value a region.
+def typed_pick(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """Points (text, confidence, ord), dealt, in typed regions (field_type) give each field (region and type) that holds any a value.
 
     A date, a five-digit code and a policy number are searched in the texts in order; a checkbox is 1 where a mark
     stands and Off elsewhere; a number keeps its digits; a text is the longest, then the surest.
     """
-    t = F.col("text")
+    t, order = F.col("text"), -F.col("ord").cast("long")
     found = {
         "date": F.regexp_extract(t, r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})", 1),
         "naic": F.regexp_extract(t, r"^\s*([0-9]{5})\s*$", 1),
         "policy_number": F.regexp_extract(t, r"([A-Z0-9][A-Z0-9-]{4,})", 1),
         "number": F.regexp_replace(t, r"[^0-9.]", ""),
     }
-    hit = F.lit(None).cast("string")
-    for kind, c in found.items():
-        hit = F.when(F.col("field_type") == kind, F.nullif(c, F.lit(""))).otherwise(hit)
-    marked = F.trim(F.lower(t)).isin("x", "☑", "☒", "✓", "✔", "1", "yes")
-    each = hits.withColumns({"_hit": hit, "_mark": marked})
-    out = each.groupBy(*keys, "field_type").agg(
-        F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("ord"))).alias("_hit"),
-        F.bool_or("_mark").alias("_mark"),
-        F.max_by("text", F.struct(F.char_length("text"), "confidence", -F.col("ord"))).alias("_text"),
-    )
-    value = F.when(F.col("field_type") == "checkbox", F.when(F.col("_mark"), "1").otherwise("Off"))
-    return out.select(*keys, value.when(F.col("field_type") == "text", F.col("_text")).otherwise(F.col("_hit")).alias("value"))
+    told = {"text": F.when(t.isNotNull(), F.struct(F.char_length(t).alias("size"), F.coalesce(F.col("confidence").cast("double"), F.lit(float("-inf"))).alias("sure"), order.alias("order"), t.alias("value")))}
+    for kind, c in {**{k: F.nullif(c, F.lit("")) for k, c in found.items()}, "checkbox": F.when(F.trim(F.lower(t)).isin("x", "☑", "☒", "✓", "✔", "1", "yes"), "1")}.items():
+        told[kind] = F.when(c.isNotNull(), F.struct(F.lit(0).alias("size"), F.lit(0.0).alias("sure"), order.alias("order"), c.alias("value")))
+
+    def pick(inside: Column) -> Column:
+        """A region that holds points has a value, though it be null."""
+        chosen = None
+        for kind in told:
+            hit = F.array_max(F.transform(inside, lambda p: p[kind]))  # noqa: B023
+            chosen = F.when(F.col("field_type") == kind, hit) if chosen is None else chosen.when(F.col("field_type") == kind, hit)
+        return F.struct(chosen.alias("hit"))
+
+    won = best_in_regions(points.withColumns({f"_{k}": c for k, c in told.items()}), regions, ["field_type"], [F.col(f"_{k}").alias(k) for k in told], pick, F.max)
+    value = F.max("_best")["hit"]["value"]
+    return won.groupBy("field", "field_type").agg(F.when(F.col("field_type") == "checkbox", F.coalesce(value, F.lit("Off"))).otherwise(value).alias("value"))
 
 
 def _fold_rows(blocks: DataFrame, keys: list[str], joins, update) -> DataFrame:
@@ -196,9 +267,11 @@ def columns_by_seed(blocks: DataFrame, keys: list[str], tolerance: float = 40) -
 
 
 def recover_small_fields(points: DataFrame, regions: DataFrame, width: float = 80, pad: float = 12, longest: int = 20) -> DataFrame:
-    """Narrow regions, padded, take the block of at most so many characters whose centre is nearest."""
+    """Narrow regions, padded, take the block of at most so many characters whose centre is nearest. points are
+    dealt."""
     small = regions.filter(F.col("x_max") - F.col("x_min") < width)
-    grown = small.withColumns({"_cx0": (F.col("x_min") + F.col("x_max")) / 2, "_cy0": (F.col("y_min") + F.col("y_max")) / 2, "x_min": F.col("x_min") - pad, "y_min": F.col("y_min") - pad, "x_max": F.col("x_max") + pad, "y_max": F.col("y_max") + pad})
-    hits = points_in_regions(points.filter(F.char_length("text") <= longest), grown)
-    far = F.round(F.sqrt(F.pow(F.col("x") - F.col("_cx0"), 2) + F.pow(F.col("y") - F.col("_cy0"), 2)), 6)
-    return hits.withColumn("_d", far).groupBy("field").agg(F.min_by("text", F.struct("_d", "ord")).alias("text"))
+    grown = small.withColumns({"_x0": (F.col("x_min") + F.col("x_max")) / 2, "_y0": (F.col("y_min") + F.col("y_max")) / 2, "x_min": F.col("x_min") - pad, "y_min": F.col("y_min") - pad, "x_max": F.col("x_max") + pad, "y_max": F.col("y_max") + pad})
+    far = lambda p: F.round(F.sqrt(F.pow(p["x"] - F.col("_x0"), 2) + F.pow(p["y"] - F.col("_y0"), 2)), 6)
+    pick = lambda found: F.array_min(F.transform(found, lambda p: F.struct(far(p).alias("d"), p["ord"].alias("ord"), p["text"].alias("text"))))
+    won = best_in_regions(points.filter(F.char_length("text") <= longest), grown, ["_x0", "_y0"], ["ord", "text"], pick, F.min)
+    return won.groupBy("field").agg(F.min("_best")["text"].alias("text"))

@@ -27,9 +27,16 @@ def regions(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("field"), (k % 5).cast("int").alias("page"), x.alias("x_min"), y.alias("y_min"), (x + 20 + F.col("p_size")).alias("x_max"), (y + 15 + F.col("p_size")).alias("y_max"))
 
 
+def _shares(spark, sf_dir, each=200_000):
+    """Of about so many line items."""
+    return -(-table(spark, sf_dir, "lineitem").count() // each) or 1
+
+
 @query("point_in_region", f"WITH {_POINTS.replace('l_extendedprice::BIGINT', 'round(l_extendedprice)::BIGINT')}, {_REGIONS} SELECT field, count(*) AS blocks, min(l_orderkey) AS first_order FROM pt JOIN rg ON pt.page = rg.page AND x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max GROUP BY 1")
 def point_in_region(spark, sf_dir):
-    return S.points_in_regions(points(spark, sf_dir), regions(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("blocks"), F.min("l_orderkey").alias("first_order"))
+    first, again = [F.count("*").alias("blocks"), F.min("l_orderkey").alias("first_order")], [F.sum("blocks").alias("blocks"), F.min("first_order").alias("first_order")]
+    held = S.totals_in_regions(S.dealt(points(spark, sf_dir), _shares(spark, sf_dir)), regions(spark, sf_dir), first, again)
+    return held.groupBy("field").agg(*again)
 
 
 @query(
@@ -53,10 +60,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY page, anchor ORDER BY abs(dx) +
 SELECT page, median(dx) AS dx, median(dy) AS dy, count(*) AS anchors FROM n WHERE k = 1 GROUP BY 1""",
 )
 def anchor_offset(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    met = s.join(c, s["s_nationkey"] == c["c_nationkey"])
-    shift = lambda m, n: (F.col("c_custkey") % m - F.col("s_suppkey") % n).cast("double")
-    return S.anchor_offsets(met.select(F.col("s_nationkey").alias("page"), F.col("s_suppkey").alias("anchor"), shift(97, 89).alias("dx"), shift(53, 31).alias("dy")), ["page"])
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    anchors = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), s.alias("anchor"), (s % 89).alias("x"), (s % 31).alias("y"))
+    return S.anchor_offsets(anchors, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), (c % 97).alias("x"), (c % 53).alias("y")), ["page"])
 
 
 _BLOCKS = "b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::BIGINT AS ord, round(l_extendedprice)::BIGINT % 300 AS y, (l_partkey * 17) % 2550 AS x FROM lineitem)"
@@ -167,7 +173,7 @@ def texts(spark, sf_dir):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
         F.concat("l_returnflag", F.lit(" "), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("/2024")).alias("text"),
     )
-    return rows.groupBy("page", "x", "y", "ord").agg(F.min("text").alias("text"))
+    return S.dealt(rows, _shares(spark, sf_dir)).groupBy("page", "_cx", "_cy", "x", "y", "ord").agg(F.min("text").alias("text"))
 
 
 @query(
@@ -179,8 +185,7 @@ SELECT field, CASE field_type WHEN 'checkbox' THEN 'Off' WHEN 'text' THEN first(
 )
 def template_region_pick(spark, sf_dir):
     kinds = F.get(F.array(*map(F.lit, ["text", "number", "checkbox", "date"])), (F.col("field") % 4).cast("int"))
-    hits = S.points_in_regions(texts(spark, sf_dir), regions(spark, sf_dir)).withColumns({"field_type": kinds, "confidence": F.lit(1.0)})
-    return S.typed_pick(hits, ["field"])
+    return S.typed_pick(texts(spark, sf_dir).withColumn("confidence", F.lit(1.0)), regions(spark, sf_dir).withColumn("field_type", kinds)).select("field", "value")
 
 
 @query(

@@ -48,3 +48,81 @@ def test_a_record_meets_its_catalog_without_a_shuffle_by_field(spark):
     rows = spark.createDataFrame([(1, "City", "Bonn")], "doc long, field string, value string").repartition(4, "doc")
     catalog = spark.createDataFrame([("City", "text", None, None)], "field string, kind string, default_value string, width double")
     assert "hashpartitioning(field" not in plan(normalise_record(rows, catalog))
+
+
+def most_joined(df) -> int:
+    """The most rows that any join of df's plan gave, once run."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            of = p.children()
+            todo += [of.apply(i) for i in range(of.size())]
+        if "Join" in kind:
+            most = max(most, p.metrics().get("numOutputRows").get().value())
+    return most
+
+
+CROWD = 300
+
+
+def crowd(spark):
+    """CROWD points on three places of a page and CROWD regions of two shapes; the first holds two of the places."""
+    places, shapes = [(10, 10), (15, 12), (500, 500)], [(0, 0, 40, 40), (480, 490, 520, 530)]
+    points = spark.createDataFrame([(1, *places[i % 3], i, f"t{i:03d}") for i in range(CROWD)], "page int, x int, y int, ord long, text string")
+    regions = spark.createDataFrame([(i, 1, *shapes[i % 2]) for i in range(CROWD)], "field int, page int, x_min int, y_min int, x_max int, y_max int")
+    return points, regions
+
+
+def test_crowded_regions_meet_places_and_shapes(spark):
+    from tessera.operators import spatial as S
+
+    points, regions = crowd(spark)
+    held = S.totals_in_regions(S.dealt(points, 4), regions, [F.count("*").alias("n"), F.min("ord").alias("o")], [F.sum("n").alias("n"), F.min("o").alias("o")])
+    assert {(r.field % 2, r.n, r.o) for r in held.collect()} == {(0, 200, 0), (1, 100, 2)} and held.count() == CROWD
+    assert most_joined(held) == CROWD
+    small = S.recover_small_fields(S.dealt(points, 4), regions)
+    assert {(r.field % 2, r.text) for r in small.collect()} == {(0, "t001"), (1, "t002")} and small.count() == CROWD
+    assert most_joined(small) == CROWD
+
+
+def test_typed_regions_walk_the_points_of_a_cell(spark):
+    from tessera.operators import spatial as S
+
+    points, regions = crowd(spark)
+    kinds = F.element_at(F.array(*map(F.lit, ["text", "number", "checkbox", "date", "other"])), (F.col("field") % 5 + 1).cast("int"))
+    picked = S.typed_pick(S.dealt(points.withColumn("confidence", F.lit(1.0)), 4), regions.withColumn("field_type", kinds))
+    got = {(r.field % 10, r.value) for r in picked.collect()}
+    assert got == {(0, "t000"), (5, "t002"), (6, "000"), (1, "002"), (2, "Off"), (7, "Off"), (8, None), (3, None), (4, None), (9, None)}
+    assert most_joined(picked) == CROWD
+    mixed = spark.createDataFrame([(1, 5, 5, 2, "AB-12345 on 1/2/2024", 0.5), (1, 6, 6, 1, "12345", 0.9), (1, 7, 7, 3, " X ", 0.9), (1, 8, 8, 0, None, 0.9)], "page int, x int, y int, ord long, text string, confidence double")
+    types = ["date", "naic", "policy_number", "checkbox", "text", "number"]
+    box = spark.createDataFrame([(k, 1, 0, 0, 40, 40, k) for k in types], "field string, page int, x_min int, y_min int, x_max int, y_max int, field_type string")
+    want = {"date": "1/2/2024", "naic": "12345", "policy_number": "12345", "checkbox": "1", "text": "AB-12345 on 1/2/2024", "number": "12345"}
+    assert {r.field: r.value for r in S.typed_pick(S.dealt(mixed, 2), box).collect()} == want
+
+
+def test_overlaps_meet_shapes(spark):
+    from tessera.operators import spatial as S
+
+    _, regions = crowd(spark)
+    a, b = regions.withColumnRenamed("field", "a_id"), regions.withColumnRenamed("field", "b_id")
+    best = S.best_overlaps(a, b)
+    assert {(r.a_id % 2, r.b_id, r.iou) for r in best.collect()} == {(0, 0, 1.0), (1, 1, 1.0)} and best.count() == CROWD
+    assert most_joined(best) == CROWD
+
+
+def test_anchors_meet_places(spark):
+    from tessera.operators import spatial as S
+
+    anchors = spark.createDataFrame([(1, i, i % 2, 0) for i in range(CROWD)] + [(2, 0, 0, 0)], "page int, anchor int, x int, y int")
+    blocks = spark.createDataFrame([(1, 3 + i % 2 * 9, 4) for i in range(CROWD)] + [(2, 499, 1)], "page int, x int, y int")
+    shift = S.anchor_offsets(anchors, blocks, ["page"])
+    assert shift.collect() == [(1, 2.5, 4.0, CROWD)]
+    assert most_joined(shift) <= CROWD + 1
