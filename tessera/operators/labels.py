@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.compare import levenshtein_ratio
+from tessera.functions.compare import let, levenshtein_ratio
 
 
 def label_form(c: Column) -> Column:
@@ -36,42 +36,79 @@ def value_score(a: Column, b: Column) -> Column:
     )
 
 
-def match_candidates(left: DataFrame, right: DataFrame, group: str, q: int = 3) -> DataFrame:
+def _runs(c: str, widths: dict[int, Column]) -> Column:
+    """The distinct runs of a text in each width that it has and that is wanted, as an array."""
+    n = F.char_length(c)
+    of = lambda w: F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substr(F.col(c), i, F.lit(w)))
+    return F.array_distinct(F.concat(*[F.when((n >= w) & wanted, of(w)).otherwise(F.array().cast("array<string>")) for w, wanted in widths.items()]))
+
+
+def containing(inner: DataFrame, outer: DataFrame, s: str, t: str, keys: list[str], widths: tuple[int, ...], most: float) -> DataFrame:
+    """keys, s, t: distinct texts s of inner with those texts t of outer that hold them and are at most so many times as
+    long; texts shorter than the least width (widths from wide to narrow) are left out.
+
+    Wherever s stands, all its runs do, so it meets t by one of them: the one that the fewest texts of outer have. What
+    many texts share, as a common beginning, brings no pairs.
+    """
+    n, m = F.char_length(s), F.char_length(t)
+    wider = dict(zip(widths, (None, *widths)))
+    own = {w: F.lit(True) if wider[w] is None else n < wider[w] for w in widths}
+    held = {w: F.lit(True) if wider[w] is None else m < most * wider[w] for w in widths}
+    asked = inner.select(*keys, s).filter(n > 0).distinct().select(*keys, s, F.explode(_runs(s, own)).alias("_run"))
+    index = outer.select(*keys, t).filter(m > 0).distinct().select(*keys, t, F.explode(_runs(t, held)).alias("_run")).hint("merge")  # its size is judged by the texts before they are taken apart, so it would be broadcast
+    texts = index.groupBy(*keys, "_run").agg(F.count("*").alias("_texts")).hint("merge")
+    rare = asked.join(texts, [*keys, "_run"], "left").groupBy(*keys, s).agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_run")).alias("_r"))
+    rare = rare.filter("_r.n > 0").select(*keys, s, F.col("_r._run").alias("_run"))
+    return rare.join(index, [*keys, "_run"]).filter((m <= most * n) & F.contains(F.col(t), F.col(s))).select(*keys, s, t)
+
+
+def within_edits(left: DataFrame, right: DataFrame, group: str, wide: int = 6, narrow: int = 3) -> DataFrame:
+    """group, x, y: distinct texts x of left and y of right, in a group, that may differ by k edits of k = 15 percent of
+    the longer one, at least one; none that do is left out.
+
+    k edits leave one of any k + 1 disjoint runs of x as it is, so y meets x by these: first those that the fewest texts
+    of right have. There are always k + 1, as k + 1 narrow runs fit side by side. k is decided by the lengths that right has.
+    """
+    n, m = F.char_length("x"), F.char_length("y")
+    k_of = lambda a, b: F.floor(F.greatest(a, b) * 0.15 + 1e-9).cast("int")
+    near = lambda a, b: F.abs(a - b) <= F.greatest(a, b) * 0.15
+    lengths = F.array(*[F.lit(r[0]) for r in right.select(m.alias("m")).distinct().collect()]).cast("array<int>")
+    ks = F.array_distinct(F.transform(F.filter(lengths, lambda b: near(n, b) & (k_of(n, b) > 0)), lambda b: k_of(n, b)))
+    texts = left.select(group, "x").distinct().withColumn("_ks", ks).filter(F.size("_ks") > 0)
+    at = lambda w: F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.struct(i.alias("at"), F.lit(w).alias("w"), F.substr("x", i, F.lit(w)).alias("run")))
+    every = texts.select(group, "x", "_ks", F.inline(F.concat(at(narrow), F.when(n >= wide, at(wide)).otherwise(at(narrow)))))
+    index = right.select(group, "y").filter(m >= narrow).distinct().select(group, "y", F.explode(_runs("y", {w: F.lit(True) for w in (wide, narrow)})).alias("run")).hint("merge")
+    counts = index.groupBy(group, "run").agg(F.count("*").alias("texts")).hint("merge")
+    run = F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "w", "at", "run")
+    ranked = every.join(counts, [group, "run"], "left").groupBy(group, "x", "_ks").agg(F.array_sort(F.collect_set(run)).alias("_runs"))
+
+    def disjoint(k: Column) -> Column:
+        free = lambda done, r: ~F.exists(done, lambda d: (d["at"] < r["at"] + r["w"]) & (r["at"] < d["at"] + d["w"]))
+        chosen = F.aggregate("_runs", F.filter("_runs", lambda r: F.lit(False)), lambda done, r: F.when((F.size(done) <= k) & free(done, r), F.concat(done, F.array(r))).otherwise(done))
+        tiles = F.transform(F.sequence(F.lit(0), k), lambda i: F.substr(F.col("x"), i * narrow + 1, F.lit(narrow)))
+        return let(chosen, lambda c: F.when(F.size(c) > k, F.transform(F.filter(c, lambda r: r["texts"] > 0), lambda r: r["run"])).otherwise(tiles))
+
+    keys = ranked.select(group, "x", F.explode("_ks").alias("_k")).join(ranked.select(group, "x", "_runs"), [group, "x"]).select(group, "x", "_k", F.explode(F.array_distinct(disjoint(F.col("_k")))).alias("run"))
+    return keys.join(index, [group, "run"]).filter(near(n, m) & (k_of(n, m) == F.col("_k"))).select(group, "x", "y")
+
+
+def match_candidates(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
     """Pairs of left (group, id, text) and right, in a group, that value_score may score over 0: group, left_id,
-    right_id, left_text, right_text. No pair that scores is left out, and texts that share only what all share never meet.
+    right_id, left_text, right_text. No pair that scores is left out, and texts that share only what many share never meet.
 
-    Equal texts and equal digits meet by equality. A text contained in another has all its runs of q characters in it,
-    and of texts within k edits one holds all but q * k of the other's runs, so both meet by one of a text's rarest runs:
-    the rarest of all (containment), the q * k + 1 rarest (edits). Runs are told apart by their number in the text and
-    ranked by how many texts have them. Texts too short for runs meet by their characters.
+    Equal digits meet by equality; a text meets one that holds it (or is equal) by its rarest run, and one within edits
+    of it by disjoint runs, the rarest first.
     """
-    sides = left.select(group, "id", "text", F.lit(0).alias("side")).unionByName(right.select(group, "id", "text", F.lit(1).alias("side")))
-    sides = sides.filter("text IS NOT NULL").withColumn("x", F.lower(F.trim("text"))).filter("x <> ''")
-    texts = sides.groupBy(group, "x").agg(F.min("side").alias("low"), F.max("side").alias("high")).withColumn("n", F.char_length("x"))
-    n = F.col("n")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.concat(F.lit(f"{w}|"), F.substr("x", i, F.lit(w))))
-    every = texts.select("x", "n").distinct().select("x", "n", F.explode(F.when(n >= 2 * q, F.concat(runs(q), runs(1))).otherwise(runs(1))).alias("run"))  # a half of a shorter text may be shorter than a run
-    counted = every.groupBy("x", "n", "run").agg(F.count("*").alias("times")).select("x", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"), "run")
-    common = counted.groupBy("run", "nth").agg(F.count("*").alias("texts"))
-    width = F.substring("run", 1, 1) == str(q)
-    rank = F.row_number().over(Window.partitionBy("x", width).orderBy("texts", "run", "nth")) - 1
-    ranked = counted.join(common, ["run", "nth"]).select("x", "n", "run", "nth", width.alias("wide"), rank.alias("rank"), F.count_if(width).over(Window.partitionBy("x")).alias("all_wide"))
-    edits = lambda length: F.floor(length * 0.15)
-    most = edits(F.ceil(n / 0.85))
-    enough = F.col("all_wide") > q * most  # runs are left over whatever k edits destroy; else single characters tell
-    keys = ranked.filter(F.when(F.col("wide"), F.col("rank") <= q * most).otherwise(F.when(enough, F.lit(False)).otherwise(F.col("rank") <= most)))
-    placed = lambda rows: rows.join(texts.select(group, "x", "low", "high"), "x")
-    left_keys, found_by = placed(keys), placed(counted).select(group, "run", "nth", F.col("x").alias("y"), F.col("n").alias("m"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
-    met = left_keys.join(found_by, [group, "run", "nth"]).filter(F.least("n", "m") >= 0.5 * F.greatest("n", "m"))
-    across = ((F.col("low") == 0) & (F.col("y_high") == 1)) | ((F.col("high") == 1) & (F.col("y_low") == 0))
-    k = edits(F.greatest("n", "m"))
-    near = met.filter(across & F.when(F.col("wide"), F.col("rank") <= q * k).otherwise(F.col("rank") <= k)).select(group, "x", "y")
-    both = near.unionByName(near.select(group, F.col("y").alias("x"), F.col("x").alias("y")))
-    digits = texts.select(group, "x", F.regexp_replace("x", "[^0-9]", "").alias("d")).filter("char_length(d) >= 3")
-    both = both.unionByName(digits.join(digits.withColumnRenamed("x", "y"), [group, "d"]).select(group, "x", "y")).distinct()
-    a = sides.filter("side = 0").select(group, F.col("id").alias("left_id"), F.col("text").alias("left_text"), "x")
-    b = sides.filter("side = 1").select(group, F.col("id").alias("right_id"), F.col("text").alias("right_text"), F.col("x").alias("y"))
-    return a.join(both, [group, "x"]).join(b, [group, "y"]).select(group, "left_id", "right_id", "left_text", "right_text")
+    sides = [rows.select(group, "id", "text", F.lower(F.trim("text")).alias(x)).filter(F.col(x) != "") for rows, x in ((left, "x"), (right, "y"))]
+    a, b = (side.select(group, x).distinct() for side, x in zip(sides, "xy"))
+    digits = lambda rows, x: rows.select(group, x, F.regexp_replace(x, "[^0-9]", "").alias("d")).filter("char_length(d) >= 3")
+    both = digits(a, "x").join(digits(b, "y"), [group, "d"]).select(group, "x", "y")
+    for s, t, rows, others in (("x", "y", a, b), ("y", "x", b, a)):
+        both = both.unionByName(containing(rows, others, s, t, [group], (6, 3, 1), 2.0))
+    both = both.unionByName(within_edits(a, b, group)).distinct()
+    one = sides[0].select(group, F.col("id").alias("left_id"), F.col("text").alias("left_text"), "x")
+    two = sides[1].select(group, F.col("id").alias("right_id"), F.col("text").alias("right_text"), "y")
+    return one.join(both, [group, "x"]).join(two.hint("merge"), [group, "y"]).select(group, "left_id", "right_id", "left_text", "right_text")
 
 
 def assign_one_to_one(candidates: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
@@ -134,24 +171,21 @@ def key_form(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
-def reconcile_keys(rows: DataFrame, catalog: DataFrame, key: str, name: str, gram: int = 5) -> DataFrame:
+def reconcile_keys(rows: DataFrame, catalog: DataFrame, key: str, name: str) -> DataFrame:
     """The catalog name of a key: equal, else equal in normal form, else one contained in the other with a length
     ratio of 0.6 or more and five characters or more; the best tier, then the closest length, then the name.
 
-    Containment is looked up by the first characters of the shorter form among all places of the longer one, both
-    ways, so it is an equi-join.
+    Of names of one normal form the lowest can win, so forms meet, not names.
     """
-    a = rows.select(key).distinct().withColumn("_a", key_form(F.col(key)))
-    b = catalog.select(name).distinct().withColumn("_b", key_form(F.col(name)))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(c) - gram + 1)), lambda i: F.substr(F.col(c), i, F.lit(gram))))
-    equal = a.join(b, F.col(key) == F.col(name)).withColumn("_tier", F.lit(1))
-    normal = a.join(b, F.col("_a") == F.col("_b")).withColumn("_tier", F.lit(2))
-    long_a = a.withColumn("_g", F.explode(grams("_a"))).join(b.withColumn("_g", F.substring("_b", 1, gram)), "_g").filter(F.col("_a").contains(F.col("_b")))
-    long_b = a.withColumn("_g", F.substring("_a", 1, gram)).join(b.withColumn("_g", F.explode(grams("_b"))), "_g").filter(F.col("_b").contains(F.col("_a")))
+    a = rows.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_a", key_form(F.col(key)))
+    b = catalog.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_b", key_form(F.col(name)))
+    equal = a.join(b, F.col(key) == F.col(name)).select(key, F.lit(1).alias("_tier"), F.lit(0).alias("_gap"), name)
+    forms = b.groupBy("_b").agg(F.min(name).alias(name))
+    normal = a.join(forms, F.col("_a") == F.col("_b")).select(key, F.lit(2).alias("_tier"), F.lit(0).alias("_gap"), name)
+    held = containing(a, forms, "_a", "_b", [], (8, 5), 1 / 0.6 + 1e-9).unionByName(containing(forms, a, "_b", "_a", [], (8, 5), 1 / 0.6 + 1e-9)).distinct()
     shorter, longer = F.least(F.char_length("_a"), F.char_length("_b")), F.greatest(F.char_length("_a"), F.char_length("_b"))
-    held = long_a.unionByName(long_b).drop("_g").filter((shorter >= gram) & (shorter / longer >= 0.6)).withColumn("_tier", F.lit(3))
-    found = equal.unionByName(normal).unionByName(held).withColumn("_gap", F.char_length("_a") - F.char_length("_b"))
-    best = found.groupBy(key).agg(F.min(F.struct("_tier", F.abs("_gap").alias("_gap"), name)).alias("_m"))
+    held = held.filter(shorter / longer >= 0.6).join(forms, "_b").join(a, "_a").select(key, F.lit(3).alias("_tier"), F.abs(F.char_length("_a") - F.char_length("_b")).alias("_gap"), name)
+    best = equal.unionByName(normal).unionByName(held).groupBy(key).agg(F.min(F.struct("_tier", "_gap", name)).alias("_m"))
     return best.select(key, F.col(f"_m.{name}").alias(name), F.col("_m._tier").alias("tier"))
 
 

@@ -126,3 +126,51 @@ def test_anchors_meet_places(spark):
     shift = S.anchor_offsets(anchors, blocks, ["page"])
     assert shift.collect() == [(1, 2.5, 4.0, CROWD)]
     assert most_joined(shift) <= CROWD + 1
+
+
+def test_texts_with_a_common_beginning_do_not_meet(spark):
+    """A join by what all texts share grows with their square, and runs must not be broadcast by their texts' size."""
+    from tessera.operators import labels
+
+    left = spark.createDataFrame([(1, i, f"Supplier#{i:09d}") for i in range(0, 9000, 30)], "g int, id int, text string")
+    right = spark.createDataFrame([(1, i, f"Customer#{i:09d}") for i in range(0, 9000, 20)], "g int, id int, text string")
+    met = labels.match_candidates(left, right, "g")
+    assert {(r.left_id, r.right_id) for r in met.filter(labels.value_score(F.col("left_text"), F.col("right_text")) > 0).collect()} == {(i, i) for i in range(0, 9000, 60)}
+    assert most_joined(met) < 0.1 * 300 * 450
+    same = labels.match_candidates(left, left.withColumn("id", -F.col("id")), "g")
+    assert {(r.left_id, -r.right_id) for r in same.filter(labels.value_score(F.col("left_text"), F.col("right_text")) > 0).collect()} >= {(i, i) for i in range(0, 9000, 30)}
+    keys = left.select(F.concat(F.upper("text"), F.lit(" ltd")).alias("key"))
+    found = labels.reconcile_keys(keys, left.select(F.col("text").alias("name")), "key", "name")
+    assert {(r.key, r.name, r.tier) for r in found.collect()} == {(f"SUPPLIER#{i:09d} ltd", f"Supplier#{i:09d}", 3) for i in range(0, 9000, 30)}
+    assert most_joined(found) < 15 * 300
+
+
+def test_runs_are_not_broadcast(spark, data):
+    from tessera.plans import matching
+
+    for name in ("value_match_candidates", "fuzzy_key_tiers"):
+        for line in plan(getattr(matching, name)(spark, data)).splitlines():
+            assert "BroadcastHashJoin" not in line or "run" not in line
+
+
+def test_disjoint_runs_find_every_pair_within_edits(spark):
+    import random
+
+    from tessera.operators import labels
+
+    rng = random.Random(3)
+
+    def edited(t, k):
+        for _ in range(k):
+            i = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:i] + rng.choice("ab1") + t[i:], t[:i] + t[i + 1 :], t[:i] + rng.choice("ab1") + t[i + 1 :]])
+        return t
+
+    texts = ["".join(rng.choice("ab1") for _ in range(rng.randrange(1, 45))) for _ in range(120)]
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g int, id int, text string")
+    right = spark.createDataFrame([(1, i, edited(t, rng.randrange(0, 7))) for i, t in enumerate(texts)], "g int, id int, text string")
+    score = labels.value_score(F.col("left_text"), F.col("right_text"))
+    mine = {(r.left_id, r.right_id) for r in labels.match_candidates(left, right, "g").filter(score > 0).collect()}
+    every = left.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")).crossJoin(right.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")))
+    assert mine == {(r.left_id, r.right_id) for r in every.filter((score > 0) & (F.trim("right_text") != "")).collect()}
+    assert len(mine) > 60
