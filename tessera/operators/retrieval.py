@@ -14,28 +14,52 @@ from tessera.operators.ordering import numbered
 
 #: A query set of at most so many vectors is broadcast; a larger one is met in blocks of this size.
 QUERY_BLOCK = 20_000
+#: Items and queries of one matrix product: what a task holds of scores is their product, however many there are of either.
+ITEM_TILE, QUERY_TILE = 512, 2_048
 
 
 def _scores(matrix: np.ndarray, ids: np.ndarray, k: int, least: float | None):
     """Over batches of items: each query's k best of the partition, ties by item id."""
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
-    def best(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True], kind="stable")
-        return found[found.groupby("query_id").cumcount() < k]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"query_id": ids[:0], "item_id": np.empty(0, np.int64), "score": np.empty(0)})
+        score, item = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            items = np.array(batch["vector"].tolist(), dtype=np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = np.round((items / np.linalg.norm(items, axis=1, keepdims=True)) @ unit.T, 6)
-            s = np.where(np.isfinite(s), s, -np.inf)
-            floor = np.partition(s, -k, axis=0)[-k] if len(s) > k else np.full(s.shape[1], -np.inf)  # ties at the floor stay
-            good = (s >= floor) & (s > -np.inf) & (True if least is None else s >= least)
-            item, query = np.nonzero(good)
-            kept = best(pd.concat([kept, pd.DataFrame({"query_id": ids[query], "item_id": batch["item_id"].to_numpy()[item], "score": s[item, query]})]))
-        yield kept
+            for at in range(0, len(batch), ITEM_TILE):
+                tile = batch.iloc[at : at + ITEM_TILE]
+                items, names = np.array(tile["vector"].tolist(), dtype=np.float64), tile["item_id"].to_numpy()
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    items /= np.linalg.norm(items, axis=1, keepdims=True)
+                for q in range(0, len(ids), QUERY_TILE):
+                    merge(score[q : q + QUERY_TILE], item[q : q + QUERY_TILE], unit[q : q + QUERY_TILE], items, names)
+        query, rank = np.nonzero(score > -np.inf)
+        for at in range(0, len(query), 100_000):
+            q, r = query[at : at + 100_000], rank[at : at + 100_000]
+            yield pd.DataFrame({"query_id": ids[q], "item_id": item[q, r], "score": score[q, r]})
+
+    def merge(score: np.ndarray, item: np.ndarray, unit: np.ndarray, items: np.ndarray, names: np.ndarray) -> None:
+        """score and item, a row a query, are each replaced by the best of themselves and of items."""
+        with np.errstate(invalid="ignore"):
+            s = np.round(unit @ items.T, 6)
+        floor = score[:, -1:]
+        good = np.isfinite(s) & ((s > floor) | ((s == floor) & (names < item[:, -1:])))
+        if least is not None:
+            good &= s >= least
+        touched = np.nonzero(good.any(axis=1))[0]
+        if not len(touched):
+            return
+        s = np.where(good[touched], s[touched], -np.inf)
+        if s.shape[1] > k:  # of the tile only its k best can enter; ties at the floor stay
+            s[s < np.partition(s, -k, axis=1)[:, -k, None]] = -np.inf
+        row, column = np.nonzero(s > -np.inf)
+        row = np.concatenate([np.repeat(np.arange(len(touched)), k), row])
+        value, name = np.concatenate([score[touched].ravel(), s[s > -np.inf]]), np.concatenate([item[touched].ravel(), names[column]])
+        order = np.lexsort((name, -value, row))
+        row = row[order]
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+        kept = order[rank < k]
+        score[touched], item[touched] = value[kept].reshape(-1, k), name[kept].reshape(-1, k)
 
     return run
 
@@ -44,8 +68,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None =
     """Queries (query_id, vector) against items (item_id, vector): the k of highest cosine, ties by id.
 
     A stated query set meets all items: queries are gathered into blocks of at most QUERY_BLOCK, each broadcast as one
-    matrix, and items stream past it a batch at a time as one matrix product. A task keeps k rows a query, so what
-    shuffles is tasks times k rows a query. Null vectors and those of length zero match nothing.
+    matrix, and items stream past it in tiles as matrix products. A task keeps k rows a query and the scores of one tile,
+    so what shuffles is tasks times k rows a query. Null vectors and those of length zero match nothing. The work is
+    queries times items by nature; memory is bounded by the block.
     """
     spark = queries.sparkSession
     q = queries.filter(F.col("vector").isNotNull())

@@ -174,3 +174,33 @@ def test_disjoint_runs_find_every_pair_within_edits(spark):
     every = left.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")).crossJoin(right.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")))
     assert mine == {(r.left_id, r.right_id) for r in every.filter((score > 0) & (F.trim("right_text") != "")).collect()}
     assert len(mine) > 60
+
+
+def test_nearest_holds_the_scores_of_one_tile(monkeypatch):
+    """However many queries and items a batch has; ties across tiles go to the lower id."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tessera.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (4000, 8)).astype(float)
+    vectors[7], vectors[9] = 0, np.nan
+    names = rng.permutation(4000)
+    batches = [pd.DataFrame({"item_id": names[a : a + 2000], "vector": list(vectors[a : a + 2000])}) for a in (0, 2000)]
+    asked = rng.integers(-2, 3, (3000, 8)).astype(float) + 0.5
+    ids = np.arange(3000) * 2
+    for k, least in ((5, None), (1, 0.3), (3, 0.97)):
+        tracemalloc.start()
+        got = pd.concat(list(retrieval._scores(asked, ids, k, least)(iter(batches))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6  # 28 MB; when all of a batch was scored at once it was 200
+        with np.errstate(invalid="ignore"):
+            s = np.round((asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T, 6)
+        for q in range(0, 3000, 97):
+            best = sorted((-v, i) for v, i in zip(s[q], names) if np.isfinite(v) and (least is None or v >= least))[:k]
+            mine = got[got.query_id == q * 2]
+            assert sorted(zip(-mine.score, mine.item_id)) == best
