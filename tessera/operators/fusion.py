@@ -86,9 +86,10 @@ def fuse(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def disagreements(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with two sources or more and more than one normal form."""
-    seen = candidates.withColumn("norm", fusion_form(F.col("value")))
-    return seen.groupBy(*keys).agg(F.count_distinct("source").alias("sources"), F.count_distinct("norm").alias("values")).filter("sources >= 2 AND values > 1")
+    """Keys with two sources or more and more than one normal form. A key's are gathered as sets: two distinct counts
+    would write every candidate twice and shuffle both."""
+    several = lambda c: F.size(F.collect_set(c)).cast("long")
+    return candidates.groupBy(*keys).agg(several("source").alias("sources"), several(fusion_form(F.col("value"))).alias("values")).filter("sources >= 2 AND values > 1")
 
 
 def trusted(candidates: DataFrame, keys: list[str], threshold: float, sources: list[str]) -> DataFrame:

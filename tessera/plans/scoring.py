@@ -9,8 +9,10 @@ from tessera.functions import compare as C
 from tessera.operators import accuracy as A
 from tessera.operators import fusion
 from tessera.plans.registry import query
-from tessera.plans.session import table
+from tessera.plans.session import spread, table
 
+#: Line items a task.
+LINES = 200_000
 SOURCES = ["acroform", "spatial", "template", "positional", "semantic", "label_value", "gap_fill"]
 _SQL_SOURCES = "['" + "','".join(SOURCES) + "']"
 _W = "[" + ",".join(str(fusion.SOURCE_WEIGHTS[s]) for s in SOURCES) + "]"
@@ -32,8 +34,10 @@ f AS (SELECT field, value, source, round(score, 3) AS confidence, members AS agr
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as candidate values of a part: the line number names the source."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    """Line items as candidate values of a part: the line number names the source. They are dealt by part in shares of
+    LINES, which serves all later groups by part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    rows = spread(lines, "l_partkey", LINES).groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     return rows.select(
         F.col("l_partkey").alias("field"),
         F.get(F.array(*map(F.lit, SOURCES)), F.col("l_linenumber") - 1).alias("source"),

@@ -204,3 +204,24 @@ def test_nearest_holds_the_scores_of_one_tile(monkeypatch):
             best = sorted((-v, i) for v, i in zip(s[q], names) if np.isfinite(v) and (least is None or v >= least))[:k]
             mine = got[got.query_id == q * 2]
             assert sorted(zip(-mine.score, mine.item_id)) == best
+
+
+def test_candidates_are_shuffled_once(spark, data, monkeypatch):
+    """Dealt by part in shares of lines, which serves the groups by part."""
+    from tessera.plans import scoring
+
+    monkeypatch.setattr(scoring, "LINES", 500)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    for query in (scoring.fuse_candidates, scoring.fusion_disagreements):
+        p = plan(query(spark, data))
+        assert p.count("Exchange hashpartitioning") == 1 and f", {-(-lines // 500)})" in p
+
+
+def test_gaps_are_told_in_one_group(spark):
+    from tessera.operators import rules
+
+    rows = spark.createDataFrame([(1, "A", "x"), (1, "A", " "), (1, "B", " "), (1, "C", "y"), (2, "B", None)], "doc long, field string, value string")
+    issues = spark.createDataFrame([(1, "C", "r", "error"), (1, "A", "r", "info"), (1, "B", "r", "error")], "doc long, field string, rule string, severity string")
+    gaps = rules.gaps(rows, issues, spark.createDataFrame([("A",), ("B",), ("C",)], "field string"))
+    assert sorted(map(tuple, gaps.collect())) == [(1, "A", "ok"), (1, "B", "missing"), (1, "C", "invalid"), (2, "A", "missing"), (2, "B", "missing"), (2, "C", "missing")]
+    assert "SortMergeJoin" not in plan(gaps)
