@@ -109,9 +109,8 @@ def corrected(rows: DataFrame) -> DataFrame:
 
 def gaps(rows: DataFrame, issues: DataFrame, wanted: DataFrame) -> DataFrame:
     """Doc, field, status of each wanted field: missing, invalid (an error stands against it) or ok."""
-    docs = rows.select("doc").distinct()
-    held = rows.filter(strip(F.col("value")) != "").select("doc", "field").distinct().withColumn("_held", F.lit(True))
-    wrong = issues.filter("severity = 'error'").select("doc", "field").distinct().withColumn("_wrong", F.lit(True))
-    every = docs.join(F.broadcast(wanted.select("field")))
-    told = every.join(held, ["doc", "field"], "left").join(wrong, ["doc", "field"], "left")
-    return told.select("doc", "field", F.when(F.col("_held").isNull(), "missing").when(F.col("_wrong"), "invalid").otherwise("ok").alias("status"))
+    held = rows.select("doc", F.when(strip(F.col("value")) != "", F.col("field")).alias("_held"), F.lit(None).cast("string").alias("_wrong"))
+    wrong = issues.filter("severity = 'error'").select("doc", F.lit(None).cast("string").alias("_held"), F.col("field").alias("_wrong"))
+    told = held.unionByName(wrong).groupBy("doc").agg(F.collect_set("_held").alias("_held"), F.collect_set("_wrong").alias("_wrong"))  # one group, not three joins whose sorts a task would hold together
+    every = told.join(F.broadcast(wanted.select("field")))
+    return every.select("doc", "field", F.when(~F.array_contains("_held", F.col("field")), "missing").when(F.array_contains("_wrong", F.col("field")), "invalid").otherwise("ok").alias("status"))
