@@ -130,14 +130,15 @@ def positional(blocks: DataFrame, fields: DataFrame, anchors: DataFrame) -> Data
     Boxes are ticked by markers; text fields take the blocks whose centres they hold, in reading order, or else the block
     of the largest overlap from IOU on that is no label. Confidence is BASE scaled by how many pages found their anchors.
     """
-    pages, n_anchors = blocks.select("doc", "page").distinct(), anchors.count()
+    pages = blocks.groupBy("doc", "page").agg(F.collect_list(F.struct("ord", "text", "x", "y", "x0", "y0", "x1", "y1")).alias("_b"))  # a page's blocks go along with it, so they need no join
+    n_anchors = anchors.count()
     shift = anchor_shift(blocks, anchors)
-    quality = shift.filter("dx <> 0 OR dy <> 0").groupBy("doc").agg(F.least(F.lit(1.0), 0.7 + 0.3 * F.count("*") / max(1, n_anchors)).alias("_q"))
-    places = pages.join(shift, ["doc", "page"], "left").join(quality, "doc", "left").fillna({"dx": 0.0, "dy": 0.0, "_q": 0.7 if n_anchors else 1.0})
+    moved = F.count_if((F.col("dx") != 0) | (F.col("dy") != 0)).over(Window.partitionBy("doc"))
+    places = pages.join(shift, ["doc", "page"], "left").fillna({"dx": 0.0, "dy": 0.0}).withColumn("_n", moved)
+    places = places.withColumn("_q", F.when(F.col("_n") > 0, F.least(F.lit(1.0), 0.7 + 0.3 * F.col("_n") / max(1, n_anchors))).otherwise(0.7 if n_anchors else 1.0))
     at = lambda c, d: (F.col(f"f.{c}") + F.col(d)).alias(f"_{c}")
-    placed = places.join(F.broadcast(fields.alias("f")), "page").select("doc", "page", "_q", "f.field", "f.kind", at("x0", "dx"), at("x1", "dx"), at("y0", "dy"), at("y1", "dy"))
-    b = blocks.select("doc", "page", "ord", "text", "x", "y", "x0", "y0", "x1", "y1")
-    met = placed.join(b, ["doc", "page"])
+    placed = places.join(F.broadcast(fields.alias("f")), "page").select("doc", "page", "_q", "f.field", "f.kind", at("x0", "dx"), at("x1", "dx"), at("y0", "dy"), at("y1", "dy"), "_b")
+    met = placed.select(*[c for c in placed.columns if c != "_b"], F.inline("_b"))
     box = F.col("kind").isin("checkbox", "radio")
     inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
     near = F.col("x").between(F.col("_x0") - 5, F.col("_x1") + 5) & F.col("y").between(F.col("_y0") - 5, F.col("_y1") + 5)
